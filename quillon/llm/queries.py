@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, media
+from quillon.llm import bpe, licenses, media, mixing
 
 QUERIES = {
+    "op3_mix": mixing.op3_mix,
     "op5_media": media.op5_media,
     "op6_bpe": bpe.op6_bpe,
+    "op9_licenses": licenses.op9_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mix": mixing.OP3_SQL,
+}
