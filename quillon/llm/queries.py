@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, licenses, media, mixing
+from quillon.llm import bpe, licenses, lines, media, mixing
 
 QUERIES = {
+    "op1_lines": lines.op1_lines,
     "op3_mix": mixing.op3_mix,
     "op5_media": media.op5_media,
     "op6_bpe": bpe.op6_bpe,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_lines": lines.OP1_SQL,
     "op3_mix": mixing.OP3_SQL,
 }
