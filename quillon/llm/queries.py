@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, licenses, lines, media, mixing
+from quillon.llm import bpe, jaccard, licenses, lines, media, mixing
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
     "op3_mix": mixing.op3_mix,
     "op5_media": media.op5_media,
     "op6_bpe": bpe.op6_bpe,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op9_licenses": licenses.op9_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_lines": lines.OP1_SQL,
     "op3_mix": mixing.OP3_SQL,
+    "op7_jaccard": jaccard.OP7_SQL,
 }
