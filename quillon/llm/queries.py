@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, jaccard, licenses, lines, media, mixing
+from quillon.llm import bpe, classifier, jaccard, licenses, lines, media, mixing, quality_rules
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -10,7 +10,9 @@ QUERIES = {
     "op5_media": media.op5_media,
     "op6_bpe": bpe.op6_bpe,
     "op7_jaccard": jaccard.op7_jaccard,
+    "op8_quality": classifier.op8_quality,
     "op9_licenses": licenses.op9_licenses,
+    "op10_rules": quality_rules.op10_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
