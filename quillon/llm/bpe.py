@@ -214,21 +214,23 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_texts(df, id_col, text_col, work, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
-def digests(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """encode_decode() with the digests of ids and decoded text in their place, taken in the same pass."""
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ids: bool = False) -> DataFrame:
+    """As encode_decode(), with digests of ids and decoded text taken in the same pass: doc_id, n_tokens, ids_sha256,
+    decoded_sha256, and the ids themselves if asked for."""
     vocabulary = vocabulary or default_vocabulary()
 
-    def work(ids: list, texts: list[bytes]) -> list[list]:
+    def work(keys: list, texts: list[bytes]) -> list[list]:
         codec = loaded(vocabulary)
-        n, a, b = [], [], []
+        out: list[list] = [[] for _ in range(3 + ids)]
         for text in texts:
             count, packed, decoded = codec.encode(text)
-            n.append(count)
-            a.append(hashlib.sha256(packed).hexdigest())
-            b.append(hashlib.sha256(decoded.encode()).hexdigest())
-        return [ids, n, a, b]
+            values = (count, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), packed)
+            for column, value in zip(out, values):
+                column.append(value)
+        return [keys, *out]
 
-    return map_texts(df, "doc_id", "text", work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
+    return map_texts(df, id_col, text_col, work, schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,3 +106,29 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that an operator is about to add; Spark's names ignore case."""
     lower = {x.lower() for x in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
+
+
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Runs of rows with equal first n_keys columns, from batches sorted by them."""
+    key, rows = None, []
+    for batch in batches:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)]
+        change = np.zeros(max(len(batch) - 1, 0), bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
+        for first, last in zip(edges, edges[1:]):
+            if first == last:
+                continue
+            here = tuple(int(c[first]) for c in columns)
+            if here != key:
+                if rows:
+                    yield key, rows
+                key, rows = here, []
+            rows.append(batch.slice(first, last - first))
+    if rows:
+        yield key, rows
+
+
+def column(rows: list[pa.RecordBatch], i: int) -> list:
+    return [x for b in rows for x in b.column(i).to_pylist()]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from quillon.llm.common import typed
+from quillon.llm.common import staged, typed
 
 PROBES = 4
 BITS_PER_HASH = 16
@@ -104,3 +105,18 @@ def shared_bloom(df: DataFrame, column: str) -> SharedBloom:
     keyed = df.where(F.col(column).isNotNull()).select(F.shiftrightunsigned(column, shift).cast("long").alias("segment"), F.col(column).alias("hash"))
     rows = keyed.repartition("segment").mapInArrow(typed(build, schema), schema).collect()
     return SharedBloom(log_bits, {r["segment"]: bytes(r["bits"]) for r in rows})
+
+
+def possible(df: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test of xxhash64 values: true for those of a column of df, false for nearly all others.
+
+    The column's hashes are written to the shared folder, as they are counted before they are put in.
+    """
+    hashed = staged(df.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("hash")), "possible")
+    known = df.sparkSession.sparkContext.broadcast(shared_bloom(hashed, "hash"))
+
+    @arrow_udf("boolean")
+    def test(hashes: pa.Array) -> pa.Array:
+        return pa.array(known.value.contains(hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+
+    return test

@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quillon.llm.common import bounded_batches, documents, map_texts, staged, text_bytes, typed
+from quillon.llm.common import bounded_batches, column, documents, groups, map_texts, staged, text_bytes, typed
 from quillon.llm.components import components, lookup
-from quillon.llm.filters import shared_bloom
+from quillon.llm.filters import possible
 from quillon.llm.shingles import Bound, cells, set_hash, shingle_set
 
 WORDS = 4
@@ -149,11 +149,7 @@ def agree_pairs(x: np.ndarray, y: np.ndarray, bound: Bound) -> np.ndarray:
 def family_sets(df: DataFrame, id_col: str, text_col: str, words: int, members: DataFrame) -> DataFrame:
     """members (class, doc_id, ...) with set, sorted 64-bit hashes in binary.  Texts are found by a filter of the
     members' ids first, so that only those of candidates are shuffled."""
-    known = df.sparkSession.sparkContext.broadcast(shared_bloom(members.select(F.xxhash64("doc_id").alias("hash")), "hash"))
-
-    @arrow_udf("boolean")
-    def maybe(hashes: pa.Array) -> pa.Array:
-        return pa.array(known.value.contains(hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+    maybe = possible(members, "doc_id")
 
     @arrow_udf("binary")
     def packed(texts: pa.Array, hashes: pa.Array) -> pa.Array:
@@ -166,32 +162,6 @@ def family_sets(df: DataFrame, id_col: str, text_col: str, words: int, members:
     return met.withColumn("set", packed("text", "class")).drop("text").where(F.col("set").isNotNull())
 
 
-def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
-    """Runs of rows with equal first n_keys columns, from batches sorted by them."""
-    key, rows = None, []
-    for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)]
-        change = np.zeros(max(len(batch) - 1, 0), bool)
-        for c in columns:
-            change |= c[1:] != c[:-1]
-        edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
-        for first, last in zip(edges, edges[1:]):
-            if first == last:
-                continue
-            here = tuple(int(c[first]) for c in columns)
-            if here != key:
-                if rows:
-                    yield key, rows
-                key, rows = here, []
-            rows.append(batch.slice(first, last - first))
-    if rows:
-        yield key, rows
-
-
-def column(rows: list[pa.RecordBatch], i: int) -> list:
-    return [x for b in rows for x in b.column(i).to_pylist()]
-
-
 def homes(sets: DataFrame, bound: Bound) -> DataFrame:
     """class, home, visits for the members of families of several blocks: the number of the nearest pivot, and the
     smaller numbers of those whose region the member visits."""

@@ -77,11 +77,19 @@ def grow(x: np.ndarray, bad: np.ndarray, names: tuple[str, ...]) -> tuple[Condit
                         best, choice = gain, (name, sign, float(at))
         if choice is None:
             break
+        choice = centred(choice, x[inside], names)
         rule += (choice,)
         inside &= holds(x, names, (choice,))
     return rule
 
 
+def centred(choice: Condition, x: np.ndarray, names: tuple[str, ...]) -> Condition:
+    """The same split of x with the threshold halfway between the values on either side of it."""
+    name, sign, at = choice
+    values = x[:, names.index(name)]
+    return name, sign, float((values[values <= at].max() + values[values > at].min()) / 2)
+
+
 def prune(rule: tuple[Condition, ...], x: np.ndarray, bad: np.ndarray, names: tuple[str, ...]) -> tuple[Condition, ...]:
     """The shortest leading part of a rule that does best on rows it wasn't grown on."""
 
