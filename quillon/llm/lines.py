@@ -109,7 +109,8 @@ def to_drop(found: DataFrame, keepers: DataFrame) -> DataFrame:
     """doc_id, drops: the confirmed keys that a document holds and does not keep."""
     salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     keepers = keepers.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    met = salted.join(keepers, ["key", "salt"]).where(F.col("doc_id") != F.col("keeper"))
+    # Spark's estimate of the side's size doesn't see the salts.
+    met = salted.join(keepers.hint("merge"), ["key", "salt"]).where(F.col("doc_id") != F.col("keeper"))
     return met.groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
 
 
