@@ -18,7 +18,8 @@ def lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, how: str =
     """
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)))
     spread = table.withColumnRenamed(table_key, "__key").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    spread = spread.withColumnRenamed("__salt", "__other")
+    # Spark's estimate of the side's size doesn't see the salts.
+    spread = spread.withColumnRenamed("__salt", "__other").hint("merge")
     return salted.join(spread, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__other")), how).drop("__salt", "__key", "__other")
 
 
