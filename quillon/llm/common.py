@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches are cut at this size, so that a worker's memory does not depend on how long texts are.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
