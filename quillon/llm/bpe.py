@@ -24,11 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.common import documents, map_texts
 
-#: Words whose ids a worker remembers; beyond it the memory starts afresh.
-CACHE_WORDS = 300_000
+#: Runs of text, and pieces of them, that a task remembers; beyond that a memory starts afresh.
+CACHE_RUNS, CACHE_WORDS = 100_000, 300_000
 #: Longer words are encoded but not remembered.
 CACHE_LENGTH = 64
 
+#: Marks that, after letters, are a piece of their own.
+CLOSING = frozenset(".,;:!?")
+
 #: The printable stand-ins of bytes in a byte-level vocabulary are these ranges, all other bytes follow from 256 on.
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
 
@@ -96,8 +99,8 @@ class WordBPE:
         self.latin = regex.compile(split["pattern"]["Regex"])
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\p{L}", letters("L")).replace(r"\p{N}", letters("N")))
         self.special = regex.compile("|".join(map(regex.escape, self.added)) or "(?!)")
-        self.cache: dict[bytes, tuple[int, bytes, str]] = {}
-        self.merged: dict[str, list[int]] = {}
+        self.cache: dict[bytes, tuple[bytes, str]] = {}
+        self.merged: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one piece, from its bytes."""
@@ -131,14 +134,21 @@ class WordBPE:
         # Letter by letter where the place in a word would matter to str.lower().
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
+    def split(self, text: str) -> list[str]:
+        """Pieces of a normalised text."""
+        if text.isalpha():
+            return [text]
+        if text[-1:] in CLOSING and text[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        # Unicode versions agree on the first blocks, and the short pattern is quicker.
+        return (self.latin if max(text, default="") < "\u0250" else self.pieces).findall(text)
+
     def plain(self, text: str) -> list[int]:
         """Ids of text without added tokens."""
         out: list[int] = []
-        text = self.normal(text)
-        # Unicode versions agree on the first blocks, and the short pattern is quicker.
-        for piece in (self.latin if max(text, default="") < "\u0250" else self.pieces).findall(text):
+        for piece in self.split(self.normal(text)):
             if (ids := self.merged.get(piece)) is None:
-                ids = self.merge(piece.encode())
+                ids = tuple(self.merge(piece.encode()))
                 if len(piece) <= CACHE_LENGTH:
                     if len(self.merged) >= CACHE_WORDS:
                         self.merged.clear()
@@ -149,18 +159,18 @@ class WordBPE:
     def chunk(self, raw: bytes) -> list[int]:
         """Ids of a run without ASCII white space; added tokens are found before anything is normalised."""
         text, at, out = raw.decode("utf-8", "replace"), 0, []
-        for hit in self.special.finditer(text):
+        for hit in self.special.finditer(text) if not text.isalpha() else ():
             out += self.plain(text[at : hit.start()])
             out.append(self.added[hit[0]])
             at = hit.end()
         return out + self.plain(text[at:])
 
-    def known(self, raw: bytes) -> tuple[int, bytes, str]:
-        """Count, packed ids and decoded text of a run."""
+    def known(self, raw: bytes) -> tuple[bytes, str]:
+        """Packed ids of a run, and its decoded text with the space that follows."""
         ids = self.chunk(raw)
-        found = len(ids), struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+        found = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids) + " " if ids else ""
         if len(raw) <= CACHE_LENGTH:
-            if len(self.cache) >= CACHE_WORDS:
+            if len(self.cache) >= CACHE_RUNS:
                 self.cache.clear()
             self.cache[raw] = found
         return found
@@ -173,7 +183,15 @@ class WordBPE:
         """
         cache, known = self.cache.get, self.known
         parts = [cache(raw) or known(raw) for raw in text.split()]
-        return sum(p[0] for p in parts), b"".join([p[1] for p in parts]), " ".join([p[2] for p in parts if p[0]])
+        if not parts:
+            return 0, b"", ""
+        ids, texts = map(list, zip(*parts))
+        packed = b"".join(ids)
+        return len(packed) // 4, packed, "".join(texts)[:-1]
+
+    def forget(self) -> None:
+        self.cache.clear()
+        self.merged.clear()
 
     def decode(self, ids: list[int]) -> str:
         strings = self.strings
@@ -211,7 +229,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             decoded.append(c)
         return [ids, n, packed, decoded]
 
-    return map_texts(df, id_col, text_col, work, "doc_id long, n_tokens long, ids binary, decoded string")
+    return map_texts(df, id_col, text_col, work, "doc_id long, n_tokens long, ids binary, decoded string", lambda: loaded(vocabulary).forget())
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ids: bool = False) -> DataFrame:
@@ -230,7 +248,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         return [keys, *out]
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
-    return map_texts(df, id_col, text_col, work, schema)
+    return map_texts(df, id_col, text_col, work, schema, lambda: loaded(vocabulary).forget())
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,8 +61,9 @@ def map_texts(
     text_col: str,
     work: Callable[[list, list[bytes]], Iterable[list]],
     schema: str,
+    done: Callable[[], None] = lambda: None,
 ) -> DataFrame:
-    """Run work(ids, texts) over each Arrow batch; it returns the columns of schema in order.
+    """Run work(ids, texts) over each Arrow batch, and done() after a task's last; work returns the columns of schema in order.
 
     Only the two named columns travel to Python, whatever else df holds and however it is named.
     """
@@ -73,6 +74,7 @@ def map_texts(
         for batch in batches:
             columns = list(work(batch.column(0).to_pylist(), text_bytes(batch.column(1))))
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
+        done()
 
     slim = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     return slim.mapInArrow(typed(run, schema), schema)
