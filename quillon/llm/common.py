@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -93,6 +94,15 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema(fields)
 
 
+def tidy() -> None:
+    """Return freed memory to the system: Spark keeps a task's Python worker, and what it holds, for the next one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def typed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str):
     """run, with its batches cast to schema (an all-null column has no type of its own)."""
 
@@ -100,6 +110,7 @@ def typed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], s
         target = arrow_schema(schema)
         for out in run(batches):
             yield pa.RecordBatch.from_arrays([out.column(i).cast(f.type) for i, f in enumerate(target)], schema=target)
+        tidy()
 
     return cast
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_batches, column, documents, groups, staged, text_bytes, typed
+from quillon.llm.common import bounded_batches, column, documents, groups, staged, text_bytes, tidy, typed
 from quillon.llm.shingles import mixed
 
 VOCABULARY = 65_535
@@ -127,6 +127,7 @@ def explode(df: DataFrame, id_col: str, text_col: str, ids: dict[bytes, int], bu
             rows = [(block, -1, batch.column(0).to_pylist(), lengths, [zlib.compress(flat.tobytes(), 1)])]
             rows += [(block, b, None, None, p) for b, p in enumerate(parts)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], schema=table)
+        tidy()
 
     table = pa.schema(
         [("block", pa.int64()), ("bucket", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("parts", pa.list_(pa.binary()))]
@@ -155,6 +156,7 @@ def totals(blocks: DataFrame, buckets: int) -> DataFrame:
                 for i in range(len(asked)):
                     answers[i].append(packed(counts[ends[i] : ends[i + 1]]))
             yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array([bucket] * len(asked), pa.int64()), pa.array(answers, pa.list_(pa.binary()))], names=["block", "bucket", "parts"])
+        tidy()
 
     asked = blocks.where("bucket >= 0").select("bucket", "block", "parts").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return asked.mapInArrow(run, schema)
