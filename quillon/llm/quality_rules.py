@@ -130,20 +130,28 @@ def expression(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-@arrow_udf("struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + "," + ",".join(f"r_{r}:double" for r in RATES) + ">")
-def measured(texts: pa.Array) -> pa.Array:
-    found = [counts(t) for t in text_bytes(texts)]
-    shares = [rates(c) for c in found]
-    columns = [pa.array([c[i] for c in found], pa.int64()) for i in range(len(COUNTS))]
-    columns += [pa.array([float(s[i]) for s in shares], pa.float64()) for i in range(len(RATES))]
-    return pa.StructArray.from_arrays(columns, names=[*COUNTS, *(f"r_{r}" for r in RATES)])
+MEASURED = "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + "," + ",".join(f"r_{r}:double" for r in RATES) + ">"
+
+
+def measured(text: Column) -> Column:
+    """COUNTS and RATES of texts, taken once a row."""
+
+    @arrow_udf(MEASURED)
+    def run(texts: pa.Array) -> pa.Array:
+        found = [counts(t) for t in text_bytes(texts)]
+        shares = [rates(c) for c in found]
+        columns = [pa.array([c[i] for c in found], pa.int64()) for i in range(len(COUNTS))]
+        columns += [pa.array([float(s[i]) for s in shares], pa.float64()) for i in range(len(RATES))]
+        return pa.StructArray.from_arrays(columns, names=[*COUNTS, *(f"r_{r}" for r in RATES)])
+
+    return run.asNondeterministic()(text)
 
 
 def judged(df: DataFrame, text_col: str, rules: list[Rule]) -> DataFrame:
     """df with a column __judged: the counts, base_failed, rule and kept."""
     bounded_batches(df.sparkSession)
     names = df.columns
-    found = df.withColumn("__measured", measured.asNondeterministic()(F.col(text_col).cast("string")))
+    found = df.withColumn("__measured", measured(F.col(text_col).cast("string")))
     m = F.col("__measured")
     failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"])
     found = found.withColumns({"__r": F.struct(*[m[f"r_{r}"].alias(r) for r in RATES]), "__failed": failed})
