@@ -1,91 +1,60 @@
 """Language-model scores of documents by stupid backoff, from counts of the same corpus.
 
-Words are runs without ASCII white space, A-Z in lower case; the vocabulary is
-the most frequent ones, whole classes of equal counts, and any other word is
-one unknown word.  For orders 2 and 3:
+Words are runs without ASCII white space, A-Z in lower case, all of them: there
+is no vocabulary to grow out of.  For orders 2 and 3:
 
     S(w | u v) = c(u v w) / c(u v)        if c(u v w) >= 2
                = 0.4 S(w | v)             otherwise, and so on down to
     S(w)       = c(w) / N
 
-The tables of n-gram counts are partitioned by the hash of the n-gram.  A block
-of documents explodes into its distinct n-grams, each with its number in the
-block, and sends them to their partitions; there they are summed over all
-blocks, and joined with what each block asked for; the totals return to the
-block, which sums log S by document.  So an n-gram crosses the network once a
-block rather than once a document, and nothing is ever broadcast but the
-vocabulary, of at most 65,535 words.
+The tables of n-gram counts are partitioned by the hash of the n-gram, of 56
+bits, by which n-grams are told apart.  A block of documents explodes into its
+distinct n-grams, each with its number in the block, and sends them to their
+partitions; there they are summed over all blocks, and joined with what each
+block asked for; the totals return to the block, which sums log S by document.
+So an n-gram crosses the network once a block rather than once a document,
+nothing is broadcast, and only the number of words reaches the driver.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import bounded_batches, column, documents, groups, staged, text_bytes, tidy, typed
-from quillon.llm.shingles import mixed
+from quillon.llm.shingles import STEP, mixed
 
-VOCABULARY = 65_535
+KEY_BITS = 56
 SEEN = 2
 BACKOFF = 0.4
-ORDERS = (2, 3)
+ORDERS = (1, 2, 3)
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()  # of bytes: ASCII letters and white space only
 
 
-def word_counts(df: DataFrame, text_col: str) -> DataFrame:
-    """word, n over all texts; a task counts its batches first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: Counter = Counter()
-            for text in text_bytes(batch.column(0)):
-                found.update(words_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-    schema = "word string, n long"
-    return df.select(F.col(text_col).cast("string")).mapInArrow(typed(run, schema), schema).groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(counts: DataFrame, size: int) -> tuple[list[tuple[bytes, int]], int]:
-    """Words with their counts, by falling count and then the word, and the number of all words.
-
-    The words whose count is at least the smallest c that no more than size
-    words reach.  Fewer than size words have a count above N / size, so larger
-    counts need not be told apart to find c.
-    """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    most = total // size + 1
-    levels = counts.groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count("*").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy(F.lit(0)).orderBy(F.col("n").desc()))
-    least = levels.withColumn("upto", upto).where(F.col("upto") <= size).agg(F.min("n")).first()[0]
-    if least is None:
-        return [], total
-    rows = counts.where(F.col("n") >= least).collect()
-    return sorted(((r["word"].encode(), r["n"]) for r in rows), key=lambda x: (-x[1], x[0])), total
-
-
-def grams(tokens: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place its n-gram of the given order ending there, as an integer, and whether the document reaches back
-    that far."""
-    place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    key = tokens.astype(np.uint64)
+def grams(words: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the key of the n-gram of the given order ending there, from hashes of words, and whether the
+    document reaches back that far."""
+    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    key = words.copy()
     for k in range(1, order):
-        key[k:] |= tokens[:-k].astype(np.uint64) << np.uint64(16 * k)
-    return key, place >= order - 1
+        key[k:] += words[:-k] * np.uint64(int(STEP) ** k % 2**64)
+    return mixed(key) >> np.uint64(64 - KEY_BITS), place >= order - 1
 
 
-def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(keys) % np.uint64(buckets)).astype(np.int64)
+def edges_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's range of the sorted keys begins, and the end."""
+    which = ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(which, np.arange(buckets + 1, dtype=np.uint64))
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -98,53 +67,83 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
 
-def explode(df: DataFrame, id_col: str, text_col: str, ids: dict[bytes, int], buckets: int) -> DataFrame:
-    """Blocks of documents: one row of bucket -1 with the documents and their tokens, and one row a bucket with the
-    block's distinct n-grams, as differences, and their numbers."""
-    shared = df.sparkSession.sparkContext.broadcast(ids)
-    schema = "block long, bucket long, ids array<long>, lengths array<long>, parts array<binary>"
+def differences(values: np.ndarray) -> bytes:
+    return packed(np.diff(values, prepend=np.uint64(0)))
+
+
+def sums(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
+
+
+def told(words: np.ndarray) -> list[bytes]:
+    """Hashes of words as their distinct values, by falling number, and the places of the words among them."""
+    unique, inverse, numbers = np.unique(words, return_inverse=True, return_counts=True)
+    order = np.lexsort((unique, -numbers))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return [differences(unique[order]), packed(rank[inverse])]
+
+
+def recalled(parts: list[bytes]) -> np.ndarray:
+    """The hashes of words that told() packed."""
+    return sums(parts[0])[unpacked(parts[1]).astype(np.int64)]
+
+
+def blocks_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Blocks of documents: their ids, their numbers of words, and the words' hashes."""
+    schema = "block long, words long, ids array<long>, lengths array<long>, parts array<binary>"
+    table = pa.schema(
+        [("block", pa.int64()), ("words", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("parts", pa.list_(pa.binary()))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.get
         for i, batch in enumerate(batches):
             block = (TaskContext.get().partitionId() << 24) + i
-            lengths, tokens = [], []
+            lengths, hashes = [], [np.empty(0, np.uint64)]
             for text in text_bytes(batch.column(1)):
-                found = [known(w, 0) for w in words_of(text)]
+                found = words_of(text)
                 lengths.append(len(found))
-                tokens.append(np.array(found, np.uint16))
-            flat = np.concatenate(tokens) if tokens else np.empty(0, np.uint16)
-            parts: list[list[bytes]] = [[] for _ in range(buckets)]
-            for order in ORDERS:
-                key, full = grams(flat, np.array(lengths, np.int64), order)
-                keys, numbers = np.unique(key[full], return_counts=True)
-                which = buckets_of(keys, buckets)
-                by = np.argsort(which, kind="stable")
-                keys, numbers, ends = keys[by], numbers[by], np.searchsorted(which[by], np.arange(buckets + 1))
-                for b in range(buckets):
-                    own = slice(ends[b], ends[b + 1])
-                    parts[b] += [packed(np.diff(keys[own], prepend=np.uint64(0))), packed(numbers[own])]
-            rows = [(block, -1, batch.column(0).to_pylist(), lengths, [zlib.compress(flat.tobytes(), 1)])]
-            rows += [(block, b, None, None, p) for b, p in enumerate(parts)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], schema=table)
+                hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
+            row = [block, sum(lengths), batch.column(0).to_pylist(), lengths, told(np.concatenate(hashes))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, table)], schema=table)
         tidy()
 
-    table = pa.schema(
-        [("block", pa.int64()), ("bucket", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("parts", pa.list_(pa.binary()))]
-    )
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def totals(blocks: DataFrame, buckets: int) -> DataFrame:
+def explode(blocks: DataFrame, buckets: int) -> DataFrame:
+    """bucket, block, parts: a block's distinct n-grams in the range of a bucket, as differences, and their numbers."""
+    schema = "bucket long, block long, parts array<binary>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lengths, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                words, lengths = recalled(own), np.array(lengths, np.int64)
+                parts: list[list[bytes]] = [[] for _ in range(buckets)]
+                for order in ORDERS:
+                    key, full = grams(words, lengths, order)
+                    keys, numbers = np.unique(key[full], return_counts=True)
+                    edges = edges_of(keys, buckets)
+                    for part, first, last in zip(parts, edges, edges[1:]):
+                        part += [differences(keys[first:last]), packed(numbers[first:last])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(buckets), pa.int64()), pa.array([block] * buckets, pa.int64()), pa.array(parts, pa.list_(pa.binary()))], names=["bucket", "block", "parts"]
+                )
+        tidy()
+
+    return blocks.select("block", "lengths", "parts").mapInArrow(run, schema)
+
+
+def totals(asked: DataFrame, buckets: int) -> DataFrame:
     """block, bucket, parts: for the n-grams that a block sent to a bucket, in their order, the corpus counts."""
     schema = "block long, bucket long, parts array<binary>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in groups(batches, 1):
-            asked, sent = column(rows, 1), column(rows, 2)
-            answers: list[list[bytes]] = [[] for _ in asked]
+            askers, sent = column(rows, 1), column(rows, 2)
+            answers: list[list[bytes]] = [[] for _ in askers]
             for k in range(len(ORDERS)):
-                keys = [np.cumsum(unpacked(p[2 * k]), dtype=np.uint64) for p in sent]
+                keys = [sums(p[2 * k]) for p in sent]
                 numbers = np.concatenate([unpacked(p[2 * k + 1]) for p in sent])
                 _, place = np.unique(np.concatenate(keys), return_inverse=True)
                 if len(place):
@@ -153,40 +152,34 @@ def totals(blocks: DataFrame, buckets: int) -> DataFrame:
                 else:
                     counts = np.empty(0)
                 ends = np.cumsum([0, *map(len, keys)])
-                for i in range(len(asked)):
+                for i in range(len(askers)):
                     answers[i].append(packed(counts[ends[i] : ends[i + 1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array([bucket] * len(asked), pa.int64()), pa.array(answers, pa.list_(pa.binary()))], names=["block", "bucket", "parts"])
+            yield pa.RecordBatch.from_arrays([pa.array(askers, pa.int64()), pa.array([bucket] * len(askers), pa.int64()), pa.array(answers, pa.list_(pa.binary()))], names=["block", "bucket", "parts"])
         tidy()
 
-    asked = blocks.where("bucket >= 0").select("bucket", "block", "parts").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return asked.mapInArrow(run, schema)
+    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def scores(blocks: DataFrame, answers: DataFrame, counts: np.ndarray, total: int, buckets: int) -> DataFrame:
+def scores(blocks: DataFrame, answers: DataFrame, total: int) -> DataFrame:
     """doc_id, n_tokens, n_backoff, log_score."""
     schema = "doc_id long, n_tokens long, n_backoff long, log_score double"
-    shared = blocks.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = shared.value
         for _, rows in groups(batches, 1):
             ids, lengths, parts = (column(rows, i)[0] if i < 4 else column(rows, i) for i in (2, 3, 4))
             lengths = np.array(lengths, np.int64)
-            tokens = np.frombuffer(zlib.decompress(parts[0][0]), np.uint16)
+            words = recalled(parts[0])
             found = []
             for k, order in enumerate(ORDERS):
-                key, full = grams(tokens, lengths, order)
-                keys, place = np.unique(key[full], return_inverse=True)
-                by = np.argsort(buckets_of(keys, buckets), kind="stable")
-                counted = np.empty(len(keys))
-                if len(keys):
-                    counted[by] = np.concatenate([unpacked(p[k]) for p in parts[1:]])
-                here = np.zeros(len(tokens))
-                here[full] = counted[place]
+                key, full = grams(words, lengths, order)
+                _, place = np.unique(key[full], return_inverse=True)
+                here = np.zeros(len(words))
+                if len(place):
+                    here[full] = np.concatenate([unpacked(p[k]) for p in parts[1:]])[place]
                 found.append((here, full))
-            (two, has_two), (three, has_three) = found
+            (one, _), (two, has_two), (three, has_three) = found
             with np.errstate(divide="ignore", invalid="ignore"):
-                log_one, log_two, log_three = np.log(one[tokens]), np.log(two), np.log(three)
+                log_one, log_two, log_three = np.log(one), np.log(two), np.log(three)
                 step = np.log(BACKOFF)
                 last, last_two = np.roll(log_one, 1), np.roll(log_two, 1)
                 low = np.where(two >= SEEN, log_two - last, step * has_two + log_one - np.log(max(total, 1)))
@@ -201,14 +194,14 @@ def scores(blocks: DataFrame, answers: DataFrame, counts: np.ndarray, total: int
                 missed[some] = np.add.reduceat(back.astype(np.int64), (ends - lengths)[some])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths), pa.array(missed), pa.array(summed)], names=["doc_id", "n_tokens", "n_backoff", "log_score"])
 
-    home = blocks.where("bucket < 0").select("block", "bucket", "ids", "lengths", "parts")
-    empty = F.lit(None).cast("array<bigint>")
-    back = answers.select("block", "bucket", empty.alias("ids"), empty.alias("lengths"), "parts")
+    none = F.lit(None).cast("array<bigint>")
+    home = blocks.select("block", F.lit(-1).cast("long").alias("bucket"), "ids", "lengths", "parts")
+    back = answers.select("block", "bucket", none.alias("ids"), none.alias("lengths"), "parts")
     together = home.unionAll(back).repartition("block").sortWithinPartitions("block", "bucket")
     return together.mapInArrow(typed(run, schema), schema)
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text with a trigram model of all texts of df.
 
     Returns doc_id, n_tokens, n_backoff (words whose longest n-gram was seen
@@ -217,15 +210,12 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     scores 0; a null id stays null; repeated rows count, and score, each for
     itself; an empty table gives no rows.
     """
-    if size > VOCABULARY:
-        raise ValueError("words are numbered in 16 bits")
     spark = df.sparkSession
     bounded_batches(spark)
-    known, total = vocabulary(staged(word_counts(df, text_col), "words"), size)
-    counts = np.array([total - sum(n for _, n in known), *(n for _, n in known)], float)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = staged(explode(df, id_col, text_col, {w: i for i, (w, _) in enumerate(known, 1)}, buckets), "blocks")
-    return scores(blocks, totals(blocks, buckets), counts, total, buckets)
+    blocks = staged(blocks_of(df, id_col, text_col), "blocks")
+    total = blocks.agg(F.sum("words")).first()[0] or 0
+    return scores(blocks, totals(explode(blocks, buckets), buckets), total)
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,16 +231,8 @@ with texts as (
   from documents
 ), said as (
   select row, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from texts
-), counts as (
-  select word, count(*) as n from said group by word
-), levels as (
-  select n, sum(count(*)) over (order by n desc) as upto from counts group by n
-), vocabulary as (
-  select word from counts where n >= (select min(n) from levels where upto <= 65535)
-), tokens as (
-  select row, i, coalesce(v.word, '') as w from said left join vocabulary v using (word)
 ), context as (
-  select row, i, w, lag(w, 1) over place as v, lag(w, 2) over place as u from tokens window place as (partition by row order by i)
+  select row, i, word as w, lag(word, 1) over place as v, lag(word, 2) over place as u from said window place as (partition by row order by i)
 ), counted as (
   select row, i, v, u, count(*) over () as total, count(*) over (partition by w) as one,
          case when v is not null then count(*) over (partition by v, w) else 0 end as two,

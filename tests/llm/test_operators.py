@@ -74,30 +74,26 @@ def test_shared_bloom(spark):
 def test_lm(docs, rows, empty):
     texts = [[w for w in (r[1] or "").translate(LOWER).encode().split()] for r in rows]
     total = sum(map(len, texts))
-    for size in (65_535, 20):
-        words = Counter(w for t in texts for w in t)
-        least = min((c for c in set(words.values()) if sum(v >= c for v in words.values()) <= size), default=None)
-        known = [[w if least is not None and words[w] >= least else b"" for w in t] for t in texts]
-        counts = [Counter(tuple(t[i : i + n]) for t in known for i in range(len(t) - n + 1)) for n in (1, 2, 3)]
-
-        def log_s(t, i, n):
-            gram = tuple(t[i - n + 1 : i + 1])
-            if n == 1:
-                return np.log(counts[0][gram] / total)
-            if counts[n - 1][gram] >= 2:
-                return np.log(counts[n - 1][gram] / counts[n - 2][gram[:-1]])
-            return np.log(0.4) + log_s(t, i, n - 1)
+    counts = [Counter(tuple(t[i : i + n]) for t in texts for i in range(len(t) - n + 1)) for n in (1, 2, 3)]
 
-        expected = Counter()
-        for r, t in zip(rows, known):
-            orders = [min(i + 1, 3) for i in range(len(t))]
-            back = sum(n > 1 and counts[n - 1][tuple(t[i - n + 1 : i + 1])] < 2 for i, n in enumerate(orders))
-            expected[r[0], len(t), back, round(sum((log_s(t, i, n) for i, n in enumerate(orders)), 0.0), 4)] += 1
-        got = lm.lm_scores(docs, size=size).withColumn("s", F.round("log_score", 4))
-        near = multiset(got, "doc_id", "n_tokens", "n_backoff", "s")
-        assert sorted((k[0] or -1, k[1], k[2]) for k in near.elements()) == sorted((k[0] or -1, k[1], k[2]) for k in expected.elements())
-        order = lambda c: sorted(c.elements(), key=lambda k: (k[0] if k[0] is not None else -1, k[1], k[3]))
-        assert [k[3] for k in order(near)] == pytest.approx([k[3] for k in order(expected)], abs=2e-3)
+    def log_s(t, i, n):
+        gram = tuple(t[i - n + 1 : i + 1])
+        if n == 1:
+            return np.log(counts[0][gram] / total)
+        if counts[n - 1][gram] >= 2:
+            return np.log(counts[n - 1][gram] / counts[n - 2][gram[:-1]])
+        return np.log(0.4) + log_s(t, i, n - 1)
+
+    expected = Counter()
+    for r, t in zip(rows, texts):
+        orders = [min(i + 1, 3) for i in range(len(t))]
+        back = sum(n > 1 and counts[n - 1][tuple(t[i - n + 1 : i + 1])] < 2 for i, n in enumerate(orders))
+        expected[r[0], len(t), back, round(sum((log_s(t, i, n) for i, n in enumerate(orders)), 0.0), 4)] += 1
+    got = lm.lm_scores(docs).withColumn("s", F.round("log_score", 4))
+    near = multiset(got, "doc_id", "n_tokens", "n_backoff", "s")
+    assert sorted((k[0] or -1, k[1], k[2]) for k in near.elements()) == sorted((k[0] or -1, k[1], k[2]) for k in expected.elements())
+    order = lambda c: sorted(c.elements(), key=lambda k: (k[0] if k[0] is not None else -1, k[1], k[3]))
+    assert [k[3] for k in order(near)] == pytest.approx([k[3] for k in order(expected)], abs=2e-3)
     assert lm.lm_scores(empty).count() == 0
 
 
