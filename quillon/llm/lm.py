@@ -32,6 +32,7 @@ from quillon.llm.common import bounded_batches, column, documents, groups, stage
 from quillon.llm.shingles import STEP, mixed
 
 KEY_BITS = 56
+BLOCK_BYTES = 8 << 20
 SEEN = 2
 BACKOFF = 0.4
 ORDERS = (1, 2, 3)
@@ -75,40 +76,45 @@ def sums(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
-def told(words: np.ndarray) -> list[bytes]:
-    """Hashes of words as their distinct values, by falling number, and the places of the words among them."""
-    unique, inverse, numbers = np.unique(words, return_inverse=True, return_counts=True)
-    order = np.lexsort((unique, -numbers))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return [differences(unique[order]), packed(rank[inverse])]
+def codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=9)
 
 
-def recalled(parts: list[bytes]) -> np.ndarray:
-    """The hashes of words that told() packed."""
-    return sums(parts[0])[unpacked(parts[1]).astype(np.int64)]
+def hashes(text: bytes, size: int) -> np.ndarray:
+    """Of the words of a block, from its compressed text and their size."""
+    found = codec().decompress(text, size, asbytes=True).split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
 
 
 def blocks_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Blocks of documents: their ids, their numbers of words, and the words' hashes."""
-    schema = "block long, words long, ids array<long>, lengths array<long>, parts array<binary>"
-    table = pa.schema(
-        [("block", pa.int64()), ("words", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("parts", pa.list_(pa.binary()))]
-    )
+    """Blocks of documents: the number of all words, the documents' ids and numbers of words, and the words, compressed.
+    A block ends with the document that brings it to BLOCK_BYTES."""
+    schema = "block long, words long, bytes long, ids array<long>, lengths array<long>, text binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, batch in enumerate(batches):
-            block = (TaskContext.get().partitionId() << 24) + i
-            lengths, hashes = [], [np.empty(0, np.uint64)]
-            for text in text_bytes(batch.column(1)):
+        first, n = TaskContext.get().partitionId() << 24, 0
+        ids, lengths, texts, size = [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            text = b" ".join(texts)
+            row = [first + n, sum(lengths), len(text), ids, lengths, codec().compress(text, asbytes=True)]
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["block", "words", "bytes", "ids", "lengths", "text"])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 found = words_of(text)
+                ids.append(doc_id)
                 lengths.append(len(found))
-                hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
-            row = [block, sum(lengths), batch.column(0).to_pylist(), lengths, told(np.concatenate(hashes))]
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, table)], schema=table)
-        tidy()
+                texts.append(b" ".join(found))
+                size += len(texts[-1]) + 1
+                if size >= BLOCK_BYTES:
+                    yield block()
+                    n += 1
+                    ids, lengths, texts, size = [], [], [], 0
+        if ids:
+            yield block()
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(typed(run, schema), schema)
 
 
 def explode(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -117,8 +123,8 @@ def explode(blocks: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, lengths, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words, lengths = recalled(own), np.array(lengths, np.int64)
+            for block, lengths, size, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                words, lengths = hashes(text, size), np.array(lengths, np.int64)
                 parts: list[list[bytes]] = [[] for _ in range(buckets)]
                 for order in ORDERS:
                     key, full = grams(words, lengths, order)
@@ -131,7 +137,7 @@ def explode(blocks: DataFrame, buckets: int) -> DataFrame:
                 )
         tidy()
 
-    return blocks.select("block", "lengths", "parts").mapInArrow(run, schema)
+    return blocks.select("block", "lengths", "bytes", "text").mapInArrow(run, schema)
 
 
 def totals(asked: DataFrame, buckets: int) -> DataFrame:
@@ -166,16 +172,15 @@ def scores(blocks: DataFrame, answers: DataFrame, total: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, 1):
-            ids, lengths, parts = (column(rows, i)[0] if i < 4 else column(rows, i) for i in (2, 3, 4))
-            lengths = np.array(lengths, np.int64)
-            words = recalled(parts[0])
+            ids, lengths, size, text = (column(rows[:1], i)[0] for i in (2, 3, 4, 5))
+            parts, lengths, words = column(rows, 6)[1:], np.array(lengths, np.int64), hashes(text, size)
             found = []
             for k, order in enumerate(ORDERS):
                 key, full = grams(words, lengths, order)
                 _, place = np.unique(key[full], return_inverse=True)
                 here = np.zeros(len(words))
                 if len(place):
-                    here[full] = np.concatenate([unpacked(p[k]) for p in parts[1:]])[place]
+                    here[full] = np.concatenate([unpacked(p[k]) for p in parts])[place]
                 found.append((here, full))
             (one, _), (two, has_two), (three, has_three) = found
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -194,10 +199,8 @@ def scores(blocks: DataFrame, answers: DataFrame, total: int) -> DataFrame:
                 missed[some] = np.add.reduceat(back.astype(np.int64), (ends - lengths)[some])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths), pa.array(missed), pa.array(summed)], names=["doc_id", "n_tokens", "n_backoff", "log_score"])
 
-    none = F.lit(None).cast("array<bigint>")
-    home = blocks.select("block", F.lit(-1).cast("long").alias("bucket"), "ids", "lengths", "parts")
-    back = answers.select("block", "bucket", none.alias("ids"), none.alias("lengths"), "parts")
-    together = home.unionAll(back).repartition("block").sortWithinPartitions("block", "bucket")
+    home = blocks.select("block", F.lit(-1).cast("long").alias("bucket"), "ids", "lengths", "bytes", "text")
+    together = home.unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "bucket")
     return together.mapInArrow(typed(run, schema), schema)
 
 
