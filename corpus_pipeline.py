@@ -14,6 +14,9 @@ from quillon.llm import bpe, jaccard, lines, mixing, quality_rules
 from quillon.llm.common import documents, staged
 from quillon.llm.filters import possible
 
+#: Near duplicates: documents whose sets of runs of so many words have at least this Jaccard similarity.  The contract of op7_jaccard has its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned quality rules and their base keep."""
@@ -30,7 +33,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near duplicates, once if its row repeats; rows without an id stay."""
-    found = staged(jaccard.jaccard_join(docs).select("doc_id", "component_id"), "components")
+    found = staged(jaccard.jaccard_join(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).select("doc_id", "component_id"), "components")
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     asked = F.col("doc_id").isNotNull() & possible(gone.unionAll(again), "doc_id")(F.xxhash64("doc_id"))

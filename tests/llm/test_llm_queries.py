@@ -62,3 +62,20 @@ def test_pipeline_on_awkward_rows(spark, docs, tmp_path):
     empty.write.parquet(f"{home}/none/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{home}/none/labels.parquet")
     assert p.run(spark, f"{home}/none").count() == 0
+
+
+def test_near_duplicates_of_the_pipeline(spark, docs, rows):
+    import corpus_pipeline as p
+    from test_operators import plain_join
+
+    word = [f"d{i}" for i in range(400)]
+    replaced = lambda n: " ".join(f"r{i}" if i in range(20, 20 + 40 * n, 40) else w for i, w in enumerate(word[:200]))
+    texts = [" ".join(word[:200]), replaced(4), " ".join(word[200:320]), " ".join(word[200:345]), " ".join(word[345:]), f"{' '.join(word[345:])} and fifteen more {' '.join(word[:12])}"]
+    more = [(2000 + i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    given = docs.select("doc_id", "text", "lang", "source", "n_chars").unionAll(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = [r[0] for r in p.one_of_each(spark, given, SF).select("doc_id").collect()]
+    plain = plain_join([*rows, *more], words=5, percent=80)
+    assert sorted(k for k in kept if k is not None) == sorted({d for d, _, first, _ in plain if d is not None and d == first})
+    assert kept.count(None) == 1
+    # Four words of 200 replaced, 176 of 216 runs of five words in common; 25 words appended to 120, 116 of 141.
+    assert [k for k in sorted(k for k in kept if k is not None) if k >= 2000] == [2000, 2002, 2004, 2005]
