@@ -32,13 +32,23 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates, once if its row repeats; rows without an id stay."""
-    found = staged(jaccard.jaccard_join(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).select("doc_id", "component_id"), "components")
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    asked = F.col("doc_id").isNotNull() & possible(gone.unionAll(again), "doc_id")(F.xxhash64("doc_id"))
-    moved = docs.where(asked).join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return docs.where(~asked).unionByName(moved)
+    """One document of each component of near duplicates: of its rows with the smallest id, the smallest of one set of shingles.
+
+    Rows that share an id are judged by their texts, each in its own component.
+    A text without words is in none and stays, once if its row repeats; rows
+    without an id stay.
+    """
+    found = jaccard.jaccard_join(docs, words=NEAR_WORDS, percent=NEAR_PERCENT, sets=True)
+    found = staged(found.select("doc_id", "component_id", "class", "first_class"), "components")
+    gone = found.where("component_id < doc_id or class <> first_class").select("doc_id", "class").distinct()
+    again = found.where("doc_id is not null").groupBy("doc_id", "class").count().where("count > 1").select("doc_id")
+    asked = F.col("doc_id").isNotNull() & possible(gone.select("doc_id").unionAll(again), "doc_id")(F.xxhash64("doc_id"))
+    classed = docs.where(asked).withColumn("__class", jaccard.set_class(NEAR_WORDS)(F.col("text").cast("string")))
+    left = classed.join(gone.toDF("__id", "__gone"), (F.col("doc_id") == F.col("__id")) & (F.col("__class") == F.col("__gone")), "left_anti")
+    wordless = F.when(F.col("__class").isNull(), F.col("text"))
+    row = F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    moved = left.groupBy("doc_id", "__class", wordless.alias("__wordless")).agg(F.min(row).alias("__row"))
+    return docs.where(~asked).unionByName(moved.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,11 +25,11 @@ Shuffled are signatures, then only the sets of candidate classes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -55,6 +55,17 @@ def classes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     return map_texts(df, id_col, text_col, work, "doc_id long, n_shingles long, class long")
 
 
+def set_class(words: int) -> Callable[[Column], Column]:
+    """The class of a string column's texts as classes() has it, null where the set is empty."""
+
+    @arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        sets = (shingle_set(t, words) for t in text_bytes(texts))
+        return pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())
+
+    return of
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str, words: int, bound: Bound) -> DataFrame:
     """signature, class, facts for every class that a task sees, once a task."""
     schema = "signature long, class long, facts long"
@@ -272,7 +283,7 @@ def links(met: DataFrame, bound: Bound) -> DataFrame:
     return ordered.mapInArrow(typed(run, schema), schema)
 
 
-def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, sets: bool = False) -> DataFrame:
     """Join documents whose shingle sets have percent * union <= 100 * intersection.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by
@@ -281,6 +292,10 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     or one without words has an empty set and is linked with nothing.  Rows
     that repeat an id are linked by their texts only; a row without an id takes
     no part and has a null component.  Sets are told apart by 64-bit hashes.
+
+    With sets, also class, the hash of the row's set (null if it is empty or
+    the row has no id), and first_class, that of the smallest pair of doc_id
+    and class in its component.
     """
     bound = Bound(percent)
     slim = staged(classes(df, id_col, text_col, words), "classes")
@@ -290,17 +305,19 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     many = sizes.where("blocks > 1")
     members = lookup(families, "label", many, "label", "left").select(F.col("node").alias("class"), F.col("label").alias("family"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
     members = staged(members.join(kinds, "class"), "members")
-    sets = staged(family_sets(df, id_col, text_col, words, members), "sets")
-    found = staged(links(meetings(sets, homes(sets, bound)), bound), "links")
+    member_sets = staged(family_sets(df, id_col, text_col, words, members), "sets")
+    found = staged(links(meetings(member_sets, homes(member_sets, bound)), bound), "links")
     labels = components(found.select("a", "b"))
-    firsts = labels.join(kinds, labels.node == kinds["class"]).groupBy("label").agg(F.min("doc_id").alias("first"))
-    linked = lookup(labels, "label", firsts, "label").select(F.col("node").alias("class"), "first")
+    firsts = labels.join(kinds, labels.node == kinds["class"]).groupBy("label").agg(F.min("doc_id").alias("first"), *([F.min(F.struct("doc_id", "class"))["class"].alias("first_class")] if sets else []))
+    extra = ["first_class"] if sets else []
+    linked = lookup(labels, "label", firsts, "label").select(F.col("node").alias("class"), "first", *extra)
     degrees = found.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
     several = kinds.join(linked, "class", "left").join(degrees, "class", "left").where("copies > 1 or first is not null")
-    several = several.select("class", F.coalesce("first", "doc_id").alias("first"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"))
+    several = several.select("class", F.coalesce("first", "doc_id").alias("first"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), *extra)
     several = staged(several, "several").withColumnRenamed("class", "set_class")
     out = lookup(slim, "class", several, "set_class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    told = ["class", F.coalesce("first_class", "class").alias("first_class")] if sets else []
+    return out.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), *told)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

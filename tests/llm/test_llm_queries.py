@@ -79,3 +79,24 @@ def test_near_duplicates_of_the_pipeline(spark, docs, rows):
     assert kept.count(None) == 1
     # Four words of 200 replaced, 176 of 216 runs of five words in common; 25 words appended to 120, 116 of 141.
     assert [k for k in sorted(k for k in kept if k is not None) if k >= 2000] == [2000, 2002, 2004, 2005]
+
+
+def test_near_duplicates_that_share_an_id(spark):
+    import corpus_pipeline as p
+
+    text = {k: " ".join(f"{k}{i}" for i in range(100)) for k in "ABCDEF"}
+    near = lambda k, n: text[k].replace(f"{k}{n}", "other", 1)
+    given = [(1, text["A"]), (5, text["A"]), (5, text["B"])]  # B has no other document
+    given += [(6, text["C"]), (6, near("C", 50)), (6, text["C"]), (9, near("C", 99))]  # near copies under one id: one stays
+    given += [(7, text["D"]), (7, text["E"]), (8, near("E", 99))]  # two components that start with one id
+    given += [(10, text["F"]), (10, text["F"].upper()), (10, " "), (10, ""), (10, ""), (10, None), (10, None)]  # equal sets; no words
+    given += [(None, text["A"]), (None, text["A"])]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in given]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = p.one_of_each(spark, docs, SF)
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns and len(kept) == len(set(kept)) + 1
+    in_c = [t for i, t in kept if i == 6]
+    assert len(in_c) == 1 and in_c[0] in (text["C"], near("C", 50))
+    rest = {(1, text["A"]), (5, text["B"]), (7, text["D"]), (7, text["E"]), (10, min(text["F"], text["F"].upper())), (10, " "), (10, ""), (10, None), (None, text["A"])}
+    assert {k for k in kept if k[0] != 6} == rest
