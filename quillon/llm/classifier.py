@@ -106,9 +106,9 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(df: DataFrame, labels: DataFrame, text_col: str = "text", metadata: tuple[str, ...] = ("n_chars",), bound: int = LABELLED) -> Machine:
-    """Fit on about bound labelled rows at most, none of them held out."""
+    """Fit on bound labelled documents at most, none of them held out."""
     bounded_batches(df.sparkSession)
-    rows = sample(df.select("doc_id", text_col, *metadata), labels, "quality", bound, where=~held_out())
+    rows = sample(df, [text_col, *metadata], labels, "quality", bound, where=~held_out())
 
     @arrow_udf("struct<buckets:binary,weights:binary,stats:binary>")
     def seen(texts: pa.Array, *columns: pa.Array) -> pa.Array:

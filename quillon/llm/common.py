@@ -27,12 +27,14 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; one of our own only where none is set, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster shares for checkpoints; one of our own only where none is set and executors are
+    threads of the driver, as in tests.  ValueError on a cluster without one: its machines would not see one another's files."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
-        sc = spark.sparkContext
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
         where = sc.getCheckpointDir()
     return where
 
@@ -115,6 +117,14 @@ def typed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], s
     return cast
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one where df has a column of that name; Spark's names ignore case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that an operator is about to add; Spark's names ignore case."""
     lower = {x.lower() for x in names}

@@ -1,4 +1,4 @@
-"""Bloom filters over well-mixed 64-bit hashes: one that grows within a task, and one of bounded size for a broadcast."""
+"""Bloom filters over well-mixed 64-bit hashes, for a broadcast whose size is checked."""
 
 from __future__ import annotations
 
@@ -13,9 +13,10 @@ from pyspark.sql.functions import arrow_udf
 from quillon.llm.common import staged, typed
 
 PROBES = 4
-BITS_PER_HASH = 16
-#: Bits of a segment, and of the smallest and largest filter that is broadcast (16 KB to 32 MB).
-SEGMENT, LEAST, MOST = 13, 17, 28
+#: Bits a hash, and the fewest where that would be too large a filter: there a hash never added is found with a chance of 16 %.
+BITS_PER_HASH, FEWEST = 16, 4
+#: Bits, as powers of 2, of a segment, and of the smallest and largest filter that is broadcast (16 KB to 128 MB).
+SEGMENT, LEAST, MOST = 13, 17, 30
 
 
 def probes(hashes: np.ndarray, mask: int) -> np.ndarray:
@@ -35,33 +36,6 @@ def have(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (found & 1).all(axis=0)
 
 
-class GrowingBloom:
-    """A filter of layers, each twice as large as the one before; a hash never added is found with a chance of about
-    0.2 % a layer, one added always."""
-
-    def __init__(self, capacity: int = 1 << 15):
-        self.capacity, self.used, self.layers = capacity, 0, []
-        self.grow()
-
-    def grow(self) -> None:
-        self.layers.append(np.zeros(self.capacity * BITS_PER_HASH // 8, np.uint8))
-
-    def contains(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashes), bool)
-        for bits in self.layers:
-            out |= have(bits, probes(hashes, len(bits) * 8 - 1))
-        return out
-
-    def add(self, hashes: np.ndarray) -> None:
-        if self.used + len(hashes) > self.capacity:
-            while self.capacity < len(hashes):
-                self.capacity *= 2
-            self.capacity, self.used = self.capacity * 2, 0
-            self.grow()
-        self.used += len(hashes)
-        put(self.layers[-1], probes(hashes, len(self.layers[-1]) * 8 - 1))
-
-
 class SharedBloom:
     """A filter in segments: the top bits of a hash choose the segment, which holds all of its probes."""
 
@@ -77,14 +51,12 @@ class SharedBloom:
         return have(self.bits, base[None, :] + probes(hashes, (1 << SEGMENT) - 1))
 
 
-def shared_bloom(df: DataFrame, column: str) -> SharedBloom:
-    """A filter of the hashes in a column of df, which is read twice, once to count.
-
-    It has 16 bits a hash but never more than 2^28, 32 MB: with more than 16 million hashes more of what was never
-    added is found, so whoever asks it confirms the rest exactly.  Tasks build segments; only their bits reach the
-    driver.
-    """
+def shared_bloom(df: DataFrame, column: str) -> SharedBloom | None:
+    """A filter of the hashes in a column of df, which is read twice, once to count; None where they are too many for a
+    broadcast, more than 2^28.  Tasks build segments; only their bits reach the driver."""
     n = df.count()
+    if n * FEWEST > 1 << MOST:
+        return None
     log_bits = min(MOST, max(LEAST, int(n * BITS_PER_HASH - 1).bit_length() if n else 0))
     shift = 64 - (log_bits - SEGMENT)
 
@@ -108,12 +80,15 @@ def shared_bloom(df: DataFrame, column: str) -> SharedBloom:
 
 
 def possible(df: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A test of xxhash64 values: true for those of a column of df, false for nearly all others.
+    """A test of xxhash64 values: true for those of a column of df, false for nearly all others; true for all where the
+    column is too long for a filter, so whoever asks it joins exactly afterwards.
 
     The column's hashes are written to the shared folder, as they are counted before they are put in.
     """
     hashed = staged(df.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("hash")), "possible")
-    known = df.sparkSession.sparkContext.broadcast(shared_bloom(hashed, "hash"))
+    if (bloom := shared_bloom(hashed, "hash")) is None:
+        return lambda hashes: F.lit(True)
+    known = df.sparkSession.sparkContext.broadcast(bloom)
 
     @arrow_udf("boolean")
     def test(hashes: pa.Array) -> pa.Array:

@@ -1,12 +1,14 @@
 """Line dedup across documents with two Bloom filters.
 
 A line's key is the line without ASCII white space at its ends, A-Z in lower
-case.  The first pass sends 64-bit hashes of long keys, each once a batch, to
-the tasks that own them; there a once-seen filter tells which come again, and
-those make up the twice-seen filter, of bounded size, which all tasks get.  The
-second pass asks it, and only suspected repeats are shuffled, as 128-bit
-digests, to be confirmed exactly and given a keeper.  Documents without a
-confirmed line never move; the others meet the digests they must drop.
+case.  The once-seen filter is an array of 2^44 bits with one probe.  A task
+sets the bits of its lines and sends only these, sorted and compressed, about 4
+bytes each, to the partitions that own their ranges; hashes themselves stay.  A
+bit that two tasks set, or two documents of a task, goes into the twice-seen
+filter, which all tasks get.  The second pass asks that, and only suspected
+repeats are shuffled, as 128-bit digests, to be confirmed exactly and given a
+keeper.  Documents that lose no line never move; the others meet the digests
+they must drop.
 """
 
 from __future__ import annotations
@@ -21,12 +23,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from quillon.llm.common import bounded_batches, documents, staged, text_bytes, typed, without
-from quillon.llm.filters import GrowingBloom, SharedBloom, shared_bloom
+from quillon.llm.filters import SharedBloom, possible, shared_bloom
+from quillon.llm.packing import differences, edges_of, sums
+from quillon.llm.shingles import mixed
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
-#: Tasks that share the documents of one confirmed key.
-SALTS = 32
+#: The once-seen filter has 2^PLACE_BITS bits.
+PLACE_BITS = 44
+#: Places that a task holds before it sends or merges them.
+HELD = 1 << 21
 
 
 def digest(line: bytes, least: int) -> bytes | None:
@@ -45,43 +51,67 @@ def digests(text: bytes, least: int) -> set[bytes]:
     return found
 
 
-def hashes(keys: list[bytes]) -> np.ndarray:
-    """The first 64 bits of digests."""
-    return np.frombuffer(b"".join(keys), np.uint64)[::2]
+def places(keys: list[bytes]) -> np.ndarray:
+    """Bits of the once-seen filter that digests set."""
+    return np.frombuffer(b"".join(keys), np.uint64)[::2] >> np.uint64(64 - PLACE_BITS)
 
 
-def line_hashes(df: DataFrame, text_col: str, least: int) -> DataFrame:
-    """hash, many: the keys of a batch of documents, each once, and whether more than one of them has it."""
+def once_seen(df: DataFrame, text_col: str, least: int, parts: int) -> DataFrame:
+    """part, once, again: the bits that a task's documents set in the range of a part, and those that several of them set."""
+    schema = "part long, once binary, again binary"
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(held), return_counts=True)
+        again = found[counts > 1]
+        edges, others = edges_of(found, PLACE_BITS, parts), edges_of(again, PLACE_BITS, parts)
+        some = np.flatnonzero(np.diff(edges)).tolist()
+        columns = [some, [differences(found[edges[i] : edges[i + 1]]) for i in some], [differences(again[others[i] : others[i + 1]]) for i in some]]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["part", "once", "again"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            found = hashes([key for text in text_bytes(batch.column(0)) for key in digests(text, least)])
-            unique, counts = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(counts > 1)], names=["hash", "many"])
+            held.append(places([key for text in text_bytes(batch.column(0)) for key in digests(text, least)]))
+            n += len(held[-1])
+            if n >= HELD:
+                yield sent(held)
+                held, n = [], 0
+        if n:
+            yield sent(held)
 
-    schema = "hash long, many boolean"
     return df.select(F.col(text_col).cast("string")).mapInArrow(typed(run, schema), schema)
 
 
-def repeated(found: DataFrame) -> DataFrame:
-    """hash: those that may have come twice; each task asks and fills the once-seen filter of its hashes."""
+def twice_seen(once: DataFrame, parts: int) -> DataFrame:
+    """hash: a mix of each place that was set twice or more.  A task merges the bits of its part, some at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = GrowingBloom()
-        for batch in batches:
-            raw, many = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)
-            unique, first, counts = np.unique(raw, return_index=True, return_counts=True)
-            flagged = np.unique(raw[many])
-            twice = (counts > 1) | once.contains(unique) | np.isin(unique, flagged, assume_unique=True)
-            once.add(unique)
-            yield pa.RecordBatch.from_arrays([pa.array(unique[twice].view(np.int64))], names=["hash"])
-
-    return found.repartition("hash").mapInArrow(typed(run, "hash long"), "hash long")
+        seen, twice, held, n = np.empty(0, np.uint64), np.empty(0, np.uint64), [], 0
 
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            found, counts = np.unique(np.concatenate([seen, *held]), return_counts=True)
+            return found, np.union1d(twice, found[counts > 1])
 
-def suspects(df: DataFrame, id_col: str, text_col: str, least: int, twice: SharedBloom) -> DataFrame:
-    """key, doc_id: the keys of each document that the twice-seen filter knows, once a row."""
-    shared = df.sparkSession.sparkContext.broadcast(twice)
+        for batch in batches:
+            for one, again in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                held.append(sums(one))
+                n += len(held[-1])
+                twice = np.union1d(twice, sums(again))
+                if n >= HELD:
+                    seen, twice = merge()
+                    held, n = [], 0
+        if n:
+            seen, twice = merge()
+        yield pa.RecordBatch.from_arrays([pa.array(mixed(twice).view(np.int64))], names=["hash"])
+
+    return once.repartitionById(parts, F.col("part").cast("int")).mapInArrow(typed(run, "hash long"), "hash long")
+
+
+def suspects(df: DataFrame, id_col: str, text_col: str, least: int, twice: DataFrame) -> DataFrame:
+    """key, doc_id: the keys of each document that were perhaps seen twice, once a row.  The twice-seen filter tells them;
+    where it would be too large for all tasks, a join with its places does."""
+    bloom = shared_bloom(twice, "hash")
+    shared = None if bloom is None else df.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,12 +120,15 @@ def suspects(df: DataFrame, id_col: str, text_col: str, least: int, twice: Share
                 own = digests(text, least)
                 keys += own
                 ids += [doc_id] * len(own)
-            kept = np.flatnonzero(shared.value.contains(hashes(keys))) if keys else []
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in kept], pa.binary()), pa.array([ids[i] for i in kept], pa.int64())], names=["key", "doc_id"])
+            marks = mixed(places(keys))
+            kept = np.flatnonzero(shared.value.contains(marks)) if shared is not None else range(len(keys))
+            columns = [pa.array([keys[i] for i in kept], pa.binary()), pa.array([ids[i] for i in kept], pa.int64()), pa.array(marks[kept].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "hash"])
 
-    schema = "key binary, doc_id long"
+    schema = "key binary, doc_id long, hash long"
     known = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return known.mapInArrow(typed(run, schema), schema)
+    found = known.mapInArrow(typed(run, schema), schema)
+    return (found.join(twice, "hash", "left_semi") if bloom is None else found).drop("hash")
 
 
 def confirmed(found: DataFrame, least_docs: int) -> DataFrame:
@@ -106,11 +139,9 @@ def confirmed(found: DataFrame, least_docs: int) -> DataFrame:
 
 
 def to_drop(found: DataFrame, keepers: DataFrame) -> DataFrame:
-    """doc_id, drops: the confirmed keys that a document holds and does not keep."""
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    keepers = keepers.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    # Spark's estimate of the side's size doesn't see the salts.
-    met = salted.join(keepers.hint("merge"), ["key", "salt"]).where(F.col("doc_id") != F.col("keeper"))
+    """doc_id, drops: the confirmed keys that a document holds and does not keep.  A key that very many documents hold is
+    a skewed partition of a merge join, which Spark splits as it runs."""
+    met = found.join(keepers.hint("merge"), "key").where(F.col("doc_id") != F.col("keeper"))
     return met.groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
 
 
@@ -131,20 +162,10 @@ def dedup_lines(
     spark = df.sparkSession
     bounded_batches(spark)
     df = without(df, "n_lines", "n_dropped")
-    twice = shared_bloom(staged(repeated(line_hashes(df, text_col, least_chars)), "lines-twice"), "hash")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    twice = staged(twice_seen(once_seen(df, text_col, least_chars, parts), parts), "lines-twice")
     found = staged(suspects(df, id_col, text_col, least_chars, twice), "lines-suspects")
-    keepers = staged(confirmed(found, least_docs), "lines-keepers")
-
-    first_half = arrow_udf(lambda keys: pa.array(np.array([int.from_bytes(k[:8], "little", signed=True) for k in keys.to_pylist()], np.int64)), "long")
-    known = spark.sparkContext.broadcast(shared_bloom(keepers.select(first_half("key").alias("hash")), "hash"))
-
-    @arrow_udf("boolean")
-    def touched(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in text_bytes(texts):
-            own = digests(text, least_chars)
-            out.append(bool(own) and bool(known.value.contains(hashes(list(own))).any()))
-        return pa.array(out, pa.bool_())
+    drops = staged(to_drop(found, confirmed(found, least_docs)), "lines-drops")
 
     @arrow_udf("struct<text:string,n_lines:bigint,n_dropped:bigint>")
     def rewritten(texts: pa.Array, drops: pa.Array) -> pa.Array:
@@ -158,19 +179,20 @@ def dedup_lines(
             gone.append(len(lines) - len(stay))
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["text", "n_lines", "n_dropped"])
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    moves = touched(F.col(text_col).cast("string")) & F.col(id_col).isNotNull()
-    others = [F.col(f"`{c}`") for c in df.columns if c.lower() != text_col.lower()]
+    text, own_id = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    moves = own_id.isNotNull() & possible(drops, "doc_id")(F.xxhash64(own_id))
+    others = [c for c in df.columns if c.lower() != text_col.lower()]
     still = df.where(~moves).select(
-        *others,
+        *[F.col(f"`{c}`") for c in others],
         text.alias(text_col),
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.lit(0).cast("long").alias("n_dropped"),
     )
-    drops = to_drop(found, keepers).withColumnsRenamed({"doc_id": "__drop_id", "drops": "__drops"})
-    met = df.where(moves).join(drops, F.col(id_col).cast("long") == F.col("__drop_id"), "left")
-    changed = met.withColumn("__new", rewritten(F.col(text_col).cast("string"), F.col("__drops")))
-    changed = changed.select(*others, F.col("__new.text").alias(text_col), F.col("__new.n_lines").alias("n_lines"), F.col("__new.n_dropped").alias("n_dropped"))
+    # The caller's row travels as one column, so that none of its names can clash with ours.
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0))
+    rows = df.where(moves).select(own_id.alias("id"), row.alias("row"), text.alias("text"))
+    met = rows.join(drops, F.col("id") == F.col("doc_id"), "left").select("row", rewritten("text", "drops").alias("new"))
+    changed = met.select(*[F.col("row")[c].alias(c) for c in others], F.col("new.text").alias(text_col), F.col("new.n_lines").alias("n_lines"), F.col("new.n_dropped").alias("n_dropped"))
     return still.unionByName(changed).select(*[f"`{c}`" for c in df.columns], "n_lines", "n_dropped")
 
 

@@ -18,7 +18,6 @@ nothing is broadcast, and only the number of words reaches the driver.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import bounded_batches, column, documents, groups, staged, text_bytes, tidy, typed
+from quillon.llm.packing import differences, edges_of, packed, sums, unpacked
 from quillon.llm.shingles import STEP, mixed
 
 KEY_BITS = 56
@@ -52,30 +52,6 @@ def grams(words: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarra
     return mixed(key) >> np.uint64(64 - KEY_BITS), place >= order - 1
 
 
-def edges_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of the sorted keys begins, and the end."""
-    which = ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)
-    return np.searchsorted(which, np.arange(buckets + 1, dtype=np.uint64))
-
-
-def packed(values: np.ndarray) -> bytes:
-    """64-bit integers, byte planes apart so that small ones shrink."""
-    return zlib.compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
-
-
-def differences(values: np.ndarray) -> bytes:
-    return packed(np.diff(values, prepend=np.uint64(0)))
-
-
-def sums(data: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(data), dtype=np.uint64)
-
-
 def codec() -> pa.Codec:
     return pa.Codec("zstd", compression_level=9)
 
@@ -129,7 +105,7 @@ def explode(blocks: DataFrame, buckets: int) -> DataFrame:
                 for order in ORDERS:
                     key, full = grams(words, lengths, order)
                     keys, numbers = np.unique(key[full], return_counts=True)
-                    edges = edges_of(keys, buckets)
+                    edges = edges_of(keys, KEY_BITS, buckets)
                     for part, first, last in zip(parts, edges, edges[1:]):
                         part += [differences(keys[first:last]), packed(numbers[first:last])]
                 yield pa.RecordBatch.from_arrays(
@@ -163,7 +139,7 @@ def totals(asked: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(askers, pa.int64()), pa.array([bucket] * len(askers), pa.int64()), pa.array(answers, pa.list_(pa.binary()))], names=["block", "bucket", "parts"])
         tidy()
 
-    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return asked.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, schema)
 
 
 def scores(blocks: DataFrame, answers: DataFrame, total: int) -> DataFrame:

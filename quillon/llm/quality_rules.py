@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quillon.llm.common import bounded_batches, documents, text_bytes
+from quillon.llm.common import bounded_batches, documents, fresh, text_bytes
 from quillon.llm.labelled import sample
 from quillon.llm.textstats import COUNTS, RATES, counts, rates
 
@@ -147,24 +147,24 @@ def measured(text: Column) -> Column:
     return run.asNondeterministic()(text)
 
 
-def judged(df: DataFrame, text_col: str, rules: list[Rule]) -> DataFrame:
-    """df with a column __judged: the counts, base_failed, rule and kept."""
+def judged(df: DataFrame, text_col: str, rules: list[Rule], name: str) -> DataFrame:
+    """df with a column more, of that name: the counts, base_failed, rule and kept."""
     bounded_batches(df.sparkSession)
-    names = df.columns
-    found = df.withColumn("__measured", measured(F.col(text_col).cast("string")))
+    row, found = "__row", df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), measured(F.col(f"`{text_col}`").cast("string")).alias("__measured"))
     m = F.col("__measured")
     failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"])
     found = found.withColumns({"__r": F.struct(*[m[f"r_{r}"].alias(r) for r in RATES]), "__failed": failed})
     rule = expression([Rule(tuple((f"__r.{n}", s, a) for n, s, a in r.conditions), r.precision) for r in rules])
     verdict = F.struct(*[m[c].alias(c) for c in COUNTS], F.col("__failed").alias("base_failed"), rule.alias("rule"), (~F.col("__failed") & (rule == 0)).alias("kept"))
-    return found.select(*[F.col(f"`{c}`") for c in names], verdict.alias("__judged"))
+    return found.select(*[F.col(row)[c].alias(c) for c in df.columns], verdict.alias(name))
 
 
 def learn_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = LABELLED) -> list[Rule]:
-    """Rules that reject as labels.quality marks with 0, from about bound labelled rows at most, those that fail the base left out."""
-    rows = sample(df.select(id_col, text_col), labels, "quality", bound, id_col=id_col)
+    """Rules that reject as labels.quality marks with 0, from bound labelled documents at most, those that fail the base
+    left out.  Without labelled documents, or with those of one quality only, there is nothing to tell apart and no rule."""
+    rows = sample(df, [text_col], labels, "quality", bound, id_col=id_col)
     bounded_batches(df.sparkSession)
-    seen = rows.select("__labelled", "__label", measured(F.col(text_col).cast("string")).alias("m"))
+    seen = rows.select("__labelled", "__label", measured(F.col(f"`{text_col}`").cast("string")).alias("m"))
     kept = seen.where((F.col("m.n_words") >= LEAST_WORDS) & (100 * F.col("m.n_repeat_words") <= MOST_REPEATED * F.col("m.n_words")))
     got = sorted(kept.select("__labelled", "__label", *[f"m.r_{r}" for r in RATES]).collect())
     x = np.array([r[2:] for r in got], float).reshape(-1, len(RATES))
@@ -176,8 +176,8 @@ def apply_rules(df: DataFrame, rules: list[Rule], text_col: str = "text") -> Dat
     of those names.  A null text has no words; one of fewer than 50 words fails the base, an empty table stays empty,
     and repeated rows are judged alike.  Nothing is shuffled."""
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"]
-    others = [f"`{c}`" for c in df.columns if c.lower() not in new]
-    return judged(df, text_col, rules).select(*others, *[F.col(f"__judged.{c}").alias(c) for c in new])
+    others, name = [f"`{c}`" for c in df.columns if c.lower() not in new], fresh(df, "__judged")
+    return judged(df, text_col, rules, name).select(*others, *[F.col(name)[c].alias(c) for c in new])
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

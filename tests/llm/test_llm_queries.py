@@ -45,12 +45,22 @@ def test_pipeline(spark):
         if name == "n-gram Jaccard join":
             from quillon.llm.jaccard import jaccard_join
 
-            assert now == {r[0] for r in jaccard_join(docs).where("doc_id = component_id").select("doc_id").collect()}
+            assert now == {r[0] for r in jaccard_join(docs, words=p.NEAR_WORDS, percent=p.NEAR_PERCENT).where("doc_id = component_id").select("doc_id").collect()}
         docs, ids = out, now
     last = p.STAGES[-1][1](spark, docs, SF)
     assert last.count() == docs.count() and last.where("n_tokens * 4 != length(ids)").count() == 0
 
 
+def test_stages_keep_the_callers_columns(spark, docs):
+    import corpus_pipeline as p
+
+    extra = ["__copies", "__copy", "copies", "row", "taken_id", "class", "__judged", "__drops", "gone_id"]
+    given = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.col("hash").alias(c) for c in extra])
+    for _, stage in p.STAGES[1:4]:
+        given = p.staged(stage(spark, given, SF), "test")
+        assert given.columns[5:] == extra and {r[c] for r in given.collect() for c in extra} <= {"h", None}
+
+
 def test_pipeline_on_awkward_rows(spark, docs, tmp_path):
     import corpus_pipeline as p
 

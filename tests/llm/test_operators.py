@@ -51,12 +51,25 @@ def test_lines(docs, rows, empty):
     assert multiset(lines.dedup_lines(docs, least_chars=3, least_docs=2), "doc_id", "text", "n_lines", "n_dropped") == plain_lines(rows, 3, 2)
 
 
-def test_growing_bloom():
-    hashes = np.random.default_rng(0).integers(0, 2**63, 200_000).astype(np.uint64) * np.uint64(2)
-    bloom = filters.GrowingBloom(1 << 10)
-    for part in np.array_split(hashes[:100_000], 17):
-        bloom.add(part)
-    assert bloom.contains(hashes[:100_000]).all() and bloom.contains(hashes[100_000:]).mean() < 0.05
+def test_lines_without_a_filter(docs, rows, monkeypatch):
+    """Beyond the size of a broadcast, and with merges in many small steps."""
+    monkeypatch.setattr(filters, "FEWEST", 1 << 40)
+    monkeypatch.setattr(lines, "HELD", 5)
+    assert multiset(lines.dedup_lines(docs), "doc_id", "text", "n_lines", "n_dropped") == plain_lines(rows)
+
+
+def test_lines_keep_the_callers_columns(spark, docs, rows):
+    names = ["__drops", "__drop_id", "__new", "drops", "row", "new", "id", "hash2"]
+    got = lines.dedup_lines(docs.select("doc_id", "text", *[F.col("class").alias(n) for n in names]))
+    assert multiset(got, "doc_id", "text", "n_lines", "n_dropped") == plain_lines(rows)
+    assert all(len({r[n] for n in names}) == 1 for r in got.collect()) and multiset(got, "new") == Counter((r[5],) for r in rows)
+
+
+def test_once_and_twice_seen(spark, docs, rows):
+    twice = lines.twice_seen(lines.once_seen(docs, "text", 3, 4), 4)
+    holders = Counter(k for r in rows for k in lines.digests((r[1] or "").encode(), 3))
+    expected = {int(x) for x in shingles.mixed(lines.places([k for k, n in holders.items() if n > 1]))}
+    assert {r[0] % 2**64 for r in twice.collect()} == expected and expected
 
 
 def test_shared_bloom(spark):
@@ -245,6 +258,25 @@ def test_bpe_any_text(text):
     assert (n, packed) == (len(ids), struct.pack(f"<{len(ids)}I", *ids)) and decoded == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_of_other_unicode_versions():
+    """Letters and marks that Python's tables and the library's differ on, alone, doubled, and beside marks of each class."""
+    import unicodedata
+
+    import public_tokenizers
+    from tokenizers import Tokenizer, normalizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, codec = Tokenizer.from_file(path), bpe.loaded(path)
+    odd = [chr(c) for a, b, _ in bpe.CAPITALS for c in range(a, b + 1)] + [chr(c) for a, b in bpe.UNMOVED for c in range(a, b + 1)]
+    classes = {unicodedata.combining(chr(i)): chr(i) for i in range(0x2000)}
+    texts = odd + [f"a{c}{c}B{c} x" for c in odd] + [f"e{x}" for c in odd for m in classes.values() for x in (c + m, m + c, f"{m}{c}\u0323")]
+    texts += ["\u0eca\ua82c", "\u09c7\u09fe\u0323", "a\u1df6\u0323", "\U00011935\U00011930\u0323", "ΑΣ Σ\u0301σΣ", "\u1100\u1161\u11a8"]
+    small, nfc = normalizers.Lowercase(), normalizers.NFC()
+    assert [bpe.normal(t) for t in texts] == [small.normalize_str(nfc.normalize_str(t)) for t in texts]
+    for text, e in zip(texts[::7], tokenizer.encode_batch(texts[::7], add_special_tokens=False)):
+        assert codec.encode(text.encode())[1] == struct.pack(f"<{len(e.ids)}I", *e.ids), text
+
+
 # 7
 
 
@@ -357,6 +389,25 @@ def test_rules(spark, docs, rows, empty, labelled):
     assert quality_rules.apply_rules(df, []).where("kept").count() == 400
 
 
+def test_rules_keep_the_callers_columns(docs, rows):
+    names = ["__measured", "__r", "__failed", "__judged", "__row", "__judged_"]
+    got = quality_rules.apply_rules(docs.select("doc_id", "text", *[F.col("class").alias(n) for n in names]), [])
+    assert all({r[n] for n in names} == {r["__r"]} for r in got.collect()) and multiset(got, "__r") == Counter((r[5],) for r in rows)
+
+
+def test_sample_is_bounded(spark):
+    """However often an id repeats, with whatever texts, and however many labels there are."""
+    from quillon.llm.labelled import sample
+
+    docs = spark.range(100_000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"))
+    labels = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    got = sample(docs, ["text"], labels, "quality", 400).collect()
+    assert len(got) <= 3 and len({r["__labelled"] for r in got}) == len(got) and got == sample(docs.repartition(7), ["text"], labels, "quality", 400).collect()
+    many = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    assert sample(many, ["text"], many.withColumn("quality", F.lit(0)), "quality", 100).count() == 100
+    assert sample(many.where("doc_id < 5"), ["text"], many.withColumn("quality", F.lit(0)), "quality", 10_000).count() == 5
+
+
 def test_decision_list():
     rng = np.random.default_rng(0)
     x = rng.random((900, 2))
