@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, jaccard, lines, mixing, quality_rules
-from quillon.llm.common import documents, staged
+from quillon.llm.common import documents, fresh, staged
 from quillon.llm.filters import possible
 
 #: Near duplicates: documents whose sets of runs of so many words have at least this Jaccard similarity.  The contract of op7_jaccard has its own.
@@ -19,16 +19,18 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned quality rules and their base keep."""
+    """Documents that the learned quality rules and their base keep.  A null or short text fails the base; without
+    labels there are no rules, and the base alone decides; an empty table stays empty."""
     rules = quality_rules.learn_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.judged(docs, "text", rules).where("__judged.kept").drop("__judged")
+    verdict = fresh(docs, "__judged")
+    return quality_rules.judged(docs, "text", rules, verdict).where(F.col(verdict)["kept"]).drop(verdict)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that many of them hold; n_chars follows the text."""
+    """All documents, without lines that many of them hold; n_chars follows the text.  A null text becomes an empty one."""
     found = lines.dedup_lines(docs)
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return found.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,24 +45,27 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = found.where("component_id < doc_id or class <> first_class").select("doc_id", "class").distinct()
     again = found.where("doc_id is not null").groupBy("doc_id", "class").count().where("count > 1").select("doc_id")
     asked = F.col("doc_id").isNotNull() & possible(gone.select("doc_id").unionAll(again), "doc_id")(F.xxhash64("doc_id"))
-    classed = docs.where(asked).withColumn("__class", jaccard.set_class(NEAR_WORDS)(F.col("text").cast("string")))
-    left = classed.join(gone.toDF("__id", "__gone"), (F.col("doc_id") == F.col("__id")) & (F.col("__class") == F.col("__gone")), "left_anti")
-    wordless = F.when(F.col("__class").isNull(), F.col("text"))
+    # The caller's row travels as one column, so that none of its names can clash with ours.
     row = F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    moved = left.groupBy("doc_id", "__class", wordless.alias("__wordless")).agg(F.min(row).alias("__row"))
-    return docs.where(~asked).unionByName(moved.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
+    classed = docs.where(asked).select("doc_id", row.alias("row"), jaccard.set_class(NEAR_WORDS)(F.col("text").cast("string")).alias("class"))
+    left = classed.join(gone.toDF("gone_id", "gone_class"), (F.col("doc_id") == F.col("gone_id")) & (F.col("class") == F.col("gone_class")), "left_anti")
+    wordless = F.when(F.col("class").isNull(), F.col("row.text"))
+    moved = left.groupBy("doc_id", "class", wordless.alias("wordless")).agg(F.min("row").alias("row"))
+    return docs.where(~asked).unionByName(moved.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix of sources takes it.  Rows that share an id share the larger number."""
+    """Each document as many times as the mix of sources takes it.  Rows that share an id, or have none, share the larger
+    number; a null or wordless text has no size, is never taken and goes; an empty table stays empty."""
     found = mixing.mix_sources(docs).where("taken > 0")
-    copies = found.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
-    met = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    copies = found.groupBy(F.col("doc_id").alias("taken_id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids with the digests of ids and decoded text."""
+    """doc_id, n_tokens, ids with the digests of ids and decoded text, a row for each of docs.  A null text has no tokens."""
     return bpe.digests(docs, ids=True)
 
 
