@@ -20,11 +20,11 @@ def main(args: list[str], lines=sys.stdin, out=sys.stdout) -> None:
         pending += line
         if ";" in line:
             for result in engine.execute(pending):
-                out.write(result.render())
+                out.writelines(result.lines())
             pending = ""
     if pending.strip():
         for result in engine.execute(pending):
-            out.write(result.render())
+            out.writelines(result.lines())
     engine.close()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -17,7 +17,7 @@ from quillon.operators.select import Planner
 from quillon.plans.ast import Create, Delete, Insert, Select, Statement
 from quillon.plans.lexer import statements
 from quillon.plans.parser import parse
-from quillon.sources.catalog import Catalog, Table
+from quillon.sources.catalog import Catalog
 
 
 @dataclass
@@ -39,15 +39,21 @@ class Result:
         """All rows as text; for results small enough for the driver."""
         return [] if self.rows is None else [[value_text(v) for v in row] for row in self.rows.collect()]
 
-    def render(self) -> str:
-        """COL, ROW and DONE lines with tabs, or an ERR line."""
+    def lines(self) -> Iterator[str]:
+        """COL, ROW and DONE lines with tabs, or an ERR line; rows come by partition."""
         if not self.ok:
-            return f"ERR\t{self.error}\n"
-        lines = []
-        if self.columns:
-            lines.append("\t".join(["COL", *self.columns]))
-            lines += ["\t".join(["ROW", *row]) for row in self.texts()]
-        return "\n".join([*lines, "DONE"]) + "\n"
+            yield f"ERR\t{self.error}\n"
+            return
+        if self.rows is not None:
+            if self.columns:
+                yield "\t".join(["COL", *self.columns]) + "\n"
+            for row in self.rows.toLocalIterator():
+                yield "\t".join(["ROW", *map(value_text, row)]) + "\n"
+        yield "DONE\n"
+
+    def render(self) -> str:
+        """lines() as one text; for results small enough for the driver."""
+        return "".join(self.lines())
 
 
 class Engine:
@@ -66,13 +72,13 @@ class Engine:
         self.catalog = Catalog(spark, root or spark.conf.get("spark.sql.warehouse.dir") + "/quillon")
         self.now = F.unix_timestamp() if now is None else F.lit(now).cast("long")
 
-    def attach(self, name: str, df: DataFrame, **facts) -> Table:
-        """df as a read-only table; see Catalog.attach()."""
-        return self.catalog.attach(name, df, **facts)
+    def attach(self, name: str, df: DataFrame | Callable[[], DataFrame], **facts) -> None:
+        """df, or what the function gives when it is first asked for, as a read-only table; see Catalog.attach()."""
+        self.catalog.attach(name, df, **facts)
 
-    def load(self, name: str, df: DataFrame) -> None:
-        """Append df to a table by position, under the rules of INSERT."""
-        dml.load(self.catalog, self.catalog.find(name.upper()), df)
+    def load(self, name: str, df: DataFrame, stream: tuple[str, int] | None = None) -> None:
+        """Append df to a table by position, under the rules of INSERT.  stream: see Catalog.append()."""
+        dml.load(self.catalog, self.catalog.find(name.upper()), df, stream)
 
     def newest(self, name: str) -> DataFrame:
         """The newest row of every key of a table, where it hasn't expired."""
@@ -161,6 +167,6 @@ class Engine:
         except (DialectError, PySparkException) as e:
             return Result(error=str(e))
 
-    def close(self) -> None:
-        """Remove what no table refers to; DataFrames handed out before a DELETE end with it."""
-        self.catalog.vacuum()
+    def close(self, older_s: int = 3600) -> None:
+        """Remove what no table has referred to for so many seconds; DataFrames handed out before a DELETE end with it."""
+        self.catalog.vacuum(older_s)

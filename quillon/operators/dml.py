@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +14,11 @@ from quillon.functions.coerce import DEFAULTS, as_kind, int_column, to_int, to_v
 from quillon.operators.predicates import predicate
 from quillon.plans.ast import Delete, Insert
 from quillon.plans.parser import value_rows
+from quillon.plans.values import text_columns
 from quillon.sources.catalog import EXPIRY, NEVER, POSITION, Catalog, Table
 
-#: Characters of statements beyond which tasks read them.
-LONG = 1 << 20
+#: Characters of statements beyond which tasks read them, and the driver doesn't; the rows are the same.
+LONG = 8 << 20
 ARROW = {"INT": pa.int64(), "DATETIME": pa.int64(), "DECIMAL": pa.float64(), "VARCHAR": pa.string()}
 
 
@@ -53,42 +55,62 @@ def columns_of(rows: list[list[str]], types: list[str], order: list[int] | None)
     return columns, expiry
 
 
-def batch_of(rows: list[list[str]], types: list[str], order: list[int] | None, number: int) -> list[pa.Array]:
+#: Literals whose values the cast to a number gives as to_value() does.
+PLAIN = {"INT": r"^-?[0-9]{1,18}$", "DATETIME": r"^-?[0-9]{1,18}$", "DECIMAL": r"^-?[0-9]{1,15}(\.[0-9]{1,15})?$"}
+
+
+def values_of(texts: pa.ChunkedArray, kind: str, default=None) -> pa.Array:
+    """A column of literals as values; default where an INT has no number."""
+    if kind == "VARCHAR":
+        return texts.combine_chunks()
+    if pc.all(pc.match_substring_regex(texts, PLAIN[kind])).as_py():
+        return texts.cast(ARROW[kind]).combine_chunks()
+    if default is not None:
+        return pa.array([to_int(t, default) for t in texts.to_pylist()], pa.int64())
+    return pa.array([to_value(t, kind) for t in texts.to_pylist()], ARROW[kind])
+
+
+def batch_of(body: str, compat: bool, types: list[str], order: list[int] | None, number: int) -> list[pa.Array]:
     """The physical columns of a statement's rows but the batch number; they follow those of smaller numbers."""
-    columns, expiry = columns_of(rows, types, order)
-    arrays = [pa.array(c, ARROW[k]) for c, k in zip(columns, types)]
+    found = text_columns(body)
+    if found is None:
+        columns, expiry = columns_of(value_rows(body, compat), types, order)
+        n, arrays, expiry = len(expiry), [pa.array(c, ARROW[k]) for c, k in zip(columns, types)], pa.array(expiry, pa.int64())
+    else:
+        n, size, arrays = found.num_rows, len(types) if order is None else len(order), []
+        for i, kind in enumerate(types):
+            at = i if order is None else order.index(i) if i in order else found.num_columns
+            arrays.append(values_of(found.column(at), kind) if at < found.num_columns else pa.array([DEFAULTS[kind]] * n, ARROW[kind]))
+        expiry = values_of(found.column(size), "INT", NEVER) if size < found.num_columns else pa.array([NEVER] * n, pa.int64())
     first = number << 32
-    return [*arrays, pa.array(expiry, pa.int64()), pa.array(range(first, first + len(expiry)), pa.int64())]
+    return [*arrays, expiry, pa.array(range(first, first + n), pa.int64())]
 
 
 def insert(catalog: Catalog, table: Table, stmts: list[Insert], compat: bool) -> None:
-    """Append the rows of some INSERT statements as one batch; long ones are read and coerced by tasks."""
-    if not table.managed:
-        raise DialectError(f"Not a managed table: {table.name}")
+    """Append the rows of some INSERT statements as one batch; very long ones are read and coerced by tasks."""
+    table.managed()
     types = kinds(table)
     orders = [places(table, s, compat) for s in stmts]
     names = [*table.schema.fieldNames(), EXPIRY, POSITION]
     if sum(len(s.body) for s in stmts) <= LONG:
-        parts = [pa.table(batch_of(s.rows, types, o, i), names=names) for i, (s, o) in enumerate(zip(stmts, orders))]
-        catalog.append(table, catalog.spark.createDataFrame(pa.concat_tables(parts)))
+        parts = [pa.table(batch_of(s.body, compat, types, o, i), names=names) for i, (s, o) in enumerate(zip(stmts, orders))]
+        catalog.append(table, pa.concat_tables(parts))
         return
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays(batch_of(value_rows(body, compat), types, orders[number], number), names=names)
+                yield pa.RecordBatch.from_arrays(batch_of(body, compat, types, orders[number], number), names=names)
 
-    bodies = pa.table({"number": pa.array(range(len(stmts)), pa.int64()), "body": [s.body for s in stmts]})
-    tasks = min(len(stmts), 2 * catalog.spark.sparkContext.defaultParallelism)
+    # Rows are dealt over all cores as they come; their order is in their numbers.
+    texts = catalog.spark.createDataFrame(pa.table({"number": pa.array(range(len(stmts)), pa.int64()), "body": [s.body for s in stmts]}))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields) + f", {EXPIRY} long, {POSITION} long"
-    texts = catalog.spark.createDataFrame(bodies).repartitionByRange(tasks, "number")
     catalog.append(table, texts.mapInArrow(run, schema))
 
 
-def load(catalog: Catalog, table: Table, df: DataFrame) -> None:
+def load(catalog: Catalog, table: Table, df: DataFrame, stream: tuple[str, int] | None = None) -> None:
     """Append a DataFrame by position under the rules of INSERT, as column expressions; rows keep df's order to the newest-row rule."""
-    if not table.managed:
-        raise DialectError(f"Not a managed table: {table.name}")
+    table.managed()
     source, out = df.schema.fields, []
     for i, (f, kind) in enumerate(zip(table.schema.fields, kinds(table))):
         if i < len(source):
@@ -101,7 +123,7 @@ def load(catalog: Catalog, table: Table, df: DataFrame) -> None:
     if len(source) > n:
         expiry = F.coalesce(int_column(F.col(f"`{source[n].name}`").cast("string"), NEVER), F.lit(NEVER))
     df = df.select(*out, expiry.cast("long").alias(EXPIRY), F.monotonically_increasing_id().alias(POSITION))
-    catalog.append(table, df)
+    catalog.append(table, df, stream)
 
 
 def delete(catalog: Catalog, table: Table, stmt: Delete, compat: bool) -> None:
@@ -114,6 +136,4 @@ def delete(catalog: Catalog, table: Table, stmt: Delete, compat: bool) -> None:
     found = table.field(name.column) if name.table in (None, table.name) else None
     if found is None:
         raise DialectError(f"Unknown column: {name}")
-    gone = predicate(F.col(f"`{found.name}`"), found.dataType, stmt.where.op, stmt.where.literal)
-    with table.lock:
-        catalog.replace(table, table.read().where(~F.coalesce(gone, F.lit(False))))
+    catalog.remove(table, predicate(F.col(f"`{found.name}`"), found.dataType, stmt.where.op, stmt.where.literal))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.engine import Engine
+from quillon.functions.render import column_text
 
 KEYS = {"CUSTOMER": "c_custkey", "ORDERS": "o_orderkey", "PART": "p_partkey", "SUPPLIER": "s_suppkey", "NATION": "n_nationkey", "REGION": "r_regionkey"}
 TABLES = ("REGION", "NATION", "CUSTOMER", "SUPPLIER", "PART", "ORDERS", "LINEITEM", "EVENTS")
@@ -20,13 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def engine(spark: SparkSession, sf_dir: str, compat: bool = False, now: int | None = None) -> Engine:
-    """An engine of its own folder, with the tables attached."""
+    """An engine of its own folder, with the tables attached; their files are opened when a statement names them."""
     out = Engine(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/quillon-{uuid.uuid4().hex}", compat, now)
     for name in TABLES:
-        if name == "EVENTS":
-            out.attach(name, table(spark, sf_dir, name), key="user_id", newest=("event_id",))
-        else:
-            out.attach(name, table(spark, sf_dir, name), key=KEYS.get(name))
+        facts = {"key": "user_id", "newest": ("event_id",)} if name == "EVENTS" else {"key": KEYS.get(name)}
+        out.attach(name, partial(table, spark, sf_dir, name), **facts)
     return out
 
 
@@ -38,6 +39,7 @@ def done(e: Engine, script: str) -> None:
     for result in e.execute(script):
         if not result.ok:
             raise RuntimeError(result.error)
+    e.catalog.files().deleteOnExit(e.catalog.path())  # the folder is this query's alone
 
 
 def join_text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +75,9 @@ def insert_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def insert_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The few nations as a statement's text."""
+    """The nations as a statement's text: 25 in any scale of the tables."""
     e = engine(spark, sf_dir)
-    rows = ", ".join(f"({r[0]}, '{r[1]}', {r[2]})" for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect())
+    rows = ", ".join(f"({r[0]}, '{r[1]}', {r[2]})" for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(25).collect())
     done(e, f"CREATE TABLE N (K INT, NAME VARCHAR(25), R DECIMAL);\nINSERT INTO N VALUES {rows};\nINSERT INTO N (R, NAME) VALUES (12abc, '12abc'), (abc);")
     return e.query("SELECT K, NAME, R FROM N")
 
@@ -113,6 +115,80 @@ def ttl_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query("SELECT K, V FROM E")
 
 
+def ttl_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest row of each key, unless it has expired: older ones don't come back."""
+    e = engine(spark, sf_dir, now=NOW)
+    done(e, "CREATE TABLE E (K INT PRIMARY KEY, N INT, V DECIMAL);")
+    expiry = F.when(F.col("event_id") % 5 == 0, -1).otherwise(NOW + F.col("event_id") % 21 - 10)
+    e.load("E", table(spark, sf_dir, "events").orderBy("event_id").select("user_id", "event_id", "value", expiry.alias("expiry")))
+    return e.newest("E")
+
+
+def join_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).query("SELECT NATION.N_NATIONKEY, N_NAME FROM NATION INNER JOIN NATION ON NATION.N_REGIONKEY = NATION.N_NATIONKEY")
+
+
+def join_numeric_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INT with DECIMAL."""
+    e = engine(spark, sf_dir)
+    e.attach("REALS", table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("double").alias("k"), "c_name"))
+    return e.query("SELECT ORDERS.O_ORDERKEY, REALS.C_NAME FROM ORDERS INNER JOIN REALS ON ORDERS.O_CUSTKEY = REALS.K")
+
+
+def join_real_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DECIMAL with VARCHAR: the number's text decides."""
+    e = engine(spark, sf_dir)
+    texts = F.regexp_replace(F.col("c_acctbal").cast("decimal(12,2)").cast("string"), r"\.?0+$", "")
+    e.attach("TEXTS", table(spark, sf_dir, "customer").select("c_custkey", texts.alias("k")))
+    return e.query("SELECT CUSTOMER.C_CUSTKEY, TEXTS.C_CUSTKEY, TEXTS.K FROM CUSTOMER INNER JOIN TEXTS ON CUSTOMER.C_ACCTBAL = TEXTS.K")
+
+
+def values_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as the text protocol writes them."""
+    found = engine(spark, sf_dir).query("SELECT L_ORDERKEY, L_LINENUMBER, L_QUANTITY, L_DISCOUNT FROM LINEITEM")
+    return found.select(*[column_text(F.col(f.name), f.dataType).alias(f.name) for f in found.schema.fields])
+
+
+def positions(df: DataFrame, column: str) -> DataFrame:
+    """The places of a sorted result's rows, and the column it is sorted by."""
+    place = F.row_number().over(Window.orderBy("at")).cast("long").alias("PLACE")
+    return df.select(F.col(f"`{column}`").alias("SORTED"), F.monotonically_increasing_id().alias("at")).select(place, "SORTED")
+
+
+def placed(sql: str, column: str, compat: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: positions(engine(spark, sf_dir, compat).query(sql), column)
+
+
+def order_text_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, compat=True)
+    e.attach("TEXTS", table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("k")))
+    return positions(e.query("SELECT K FROM TEXTS ORDER BY K"), "K")
+
+
+def reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second engine on the root finds the tables, their keys and their rows."""
+    e = engine(spark, sf_dir)
+    done(e, "CREATE TABLE C (K INT PRIMARY KEY, NAME VARCHAR, N INT, BALANCE DECIMAL, SEGMENT VARCHAR);")
+    e.load("C", table(spark, sf_dir, "customer"))
+    e.load("C", table(spark, sf_dir, "customer").where("c_nationkey = 7").withColumn("c_name", F.lit("again")))
+    return Engine(spark, e.catalog.root).newest("C")
+
+
+def two_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engines that share a root take turns, and then append at one time: no statement is lost, and none counts twice."""
+    a = engine(spark, sf_dir)
+    done(a, "CREATE TABLE C (K INT, NAME VARCHAR, N INT, BALANCE DECIMAL, SEGMENT VARCHAR);")
+    b, customers = Engine(spark, a.catalog.root), table(spark, sf_dir, "customer")
+    a.load("C", customers)
+    b.load("C", customers.where("c_nationkey = 3"))
+    done(a, "DELETE FROM C WHERE N = 7;")
+    done(b, "INSERT INTO C VALUES (-1, 'b', 7, 1.5, x);\nDELETE FROM C WHERE BALANCE < 0;")
+    done(a, "INSERT INTO C VALUES (-2, 'a', 7, 2.5, y);")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: Engine(spark, a.catalog.root).load("C", customers.where(f"c_nationkey = {i}")), range(10, 14)))
+    return a.query("SELECT * FROM C")
+
+
 ON_CUSTOMER = "INNER JOIN CUSTOMER ON ORDERS.O_CUSTKEY = CUSTOMER.C_CUSTKEY"
 JOINED = "from orders join customer on o_custkey = c_custkey"
 OPS = {"eq": "=", "lt": "<", "gt": ">", "le": "<=", "ge": ">="}
@@ -148,6 +224,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "delete_all": delete_all,
     "delete_where": delete_where,
     "ttl_visible": ttl_visible,
+    "ttl_newest": ttl_newest,
+    "table_star": asked("SELECT NATION.* FROM NATION"),
+    "filter_literal_prefix": asked("SELECT C_CUSTKEY, C_ACCTBAL FROM CUSTOMER WHERE C_ACCTBAL > '+5000.5abc'"),
+    "filter_int_real": asked("SELECT C_CUSTKEY FROM CUSTOMER WHERE C_NATIONKEY > 7.5"),
+    "pk_lookup_prefix": asked("SELECT C_CUSTKEY, C_NAME FROM CUSTOMER WHERE C_CUSTKEY = '42abc'"),
+    "join_self": join_self,
+    "join_numeric_keys": join_numeric_keys,
+    "join_real_texts": join_real_texts,
+    "values_as_text": values_as_text,
+    "reopened": reopened,
+    "two_engines": two_engines,
+    "order_places_asc": placed("SELECT C_CUSTKEY, C_ACCTBAL FROM CUSTOMER ORDER BY C_ACCTBAL", "C_ACCTBAL"),
+    "order_places_desc": placed("SELECT C_CUSTKEY, C_ACCTBAL FROM CUSTOMER ORDER BY C_ACCTBAL DESC", "C_ACCTBAL"),
+    "order_places_join": placed(f"SELECT ORDERS.O_ORDERKEY, CUSTOMER.C_NAME FROM ORDERS {ON_CUSTOMER} ORDER BY ORDERS.O_ORDERKEY DESC", "ORDERS.O_ORDERKEY"),
+    "order_text_compat": order_text_compat,
     "order_by_asc": asked("SELECT C_CUSTKEY, C_ACCTBAL FROM CUSTOMER ORDER BY C_ACCTBAL"),
     "order_by_desc": asked("SELECT C_CUSTKEY, C_ACCTBAL FROM CUSTOMER ORDER BY C_ACCTBAL DESC"),
     "order_by_hidden": asked("SELECT C_CUSTKEY FROM CUSTOMER ORDER BY C_ACCTBAL"),
@@ -185,6 +276,26 @@ ORACLE_SQL: dict[str, str] = {
     "delete_all": 'select n_nationkey::bigint as "K", n_name as "NAME", n_regionkey::bigint as "R" from nation where false',
     "delete_where": 'select c_custkey::bigint as "K", c_acctbal as "BALANCE" from customer where not c_acctbal < 1000',
     "ttl_visible": f'select event_id::bigint as "K", value as "V" from events where event_id % 5 = 0 or {NOW} + event_id % 21 - 10 >= {NOW}',
+    "ttl_newest": f"""select user_id::bigint as "K", event_id::bigint as "N", value as "V" from (select * from events qualify row_number() over (partition by user_id order by event_id desc) = 1)
+        where event_id % 5 = 0 or {NOW} + event_id % 21 - 10 >= {NOW}""",
+    "table_star": 'select n_nationkey as "N_NATIONKEY", n_name as "N_NAME", n_regionkey as "N_REGIONKEY" from nation',
+    "filter_literal_prefix": 'select c_custkey as "C_CUSTKEY", c_acctbal as "C_ACCTBAL" from customer where c_acctbal > 5000.5',
+    "filter_int_real": 'select c_custkey as "C_CUSTKEY" from customer where c_nationkey > 7.5',
+    "pk_lookup_prefix": 'select c_custkey as "C_CUSTKEY", c_name as "C_NAME" from customer where c_custkey = 42',
+    "join_self": 'select a.n_nationkey as "NATION.N_NATIONKEY", a.n_name as "N_NAME" from nation a join nation b on a.n_regionkey = b.n_nationkey',
+    "join_numeric_keys": 'select o_orderkey as "ORDERS.O_ORDERKEY", c_name as "REALS.C_NAME" from orders join customer on o_custkey = c_custkey',
+    "join_real_texts": """select a.c_custkey as "CUSTOMER.C_CUSTKEY", b.c_custkey as "TEXTS.C_CUSTKEY", regexp_replace(b.c_acctbal::decimal(12,2)::varchar, '\\.?0+$', '') as "TEXTS.K"
+        from customer a join customer b on a.c_acctbal::decimal(12,2) = b.c_acctbal::decimal(12,2)""",
+    "values_as_text": """select l_orderkey::varchar as "L_ORDERKEY", l_linenumber::varchar as "L_LINENUMBER", regexp_replace(l_quantity::double::varchar, '\\.0$', '') as "L_QUANTITY",
+        regexp_replace(l_discount::double::varchar, '\\.0$', '') as "L_DISCOUNT" from lineitem""",
+    "reopened": f"select {CUSTOMER_ROWS} from (select * replace (case when c_nationkey = 7 then 'again' else c_name end as c_name) from customer)",
+    "two_engines": f"""select {CUSTOMER_ROWS} from (select * from customer union all select * from customer where c_nationkey = 3) where c_nationkey <> 7 and c_acctbal >= 0
+        union all select -1::bigint, 'b', 7::bigint, 1.5::double, 'x' union all select -2::bigint, 'a', 7::bigint, 2.5::double, 'y'
+        union all select {CUSTOMER_ROWS} from customer where c_nationkey between 10 and 13""",
+    "order_places_asc": 'select row_number() over (order by c_acctbal) as "PLACE", c_acctbal as "SORTED" from customer',
+    "order_places_desc": 'select row_number() over (order by c_acctbal desc) as "PLACE", c_acctbal as "SORTED" from customer',
+    "order_places_join": f'select row_number() over (order by o_orderkey desc) as "PLACE", o_orderkey as "SORTED" {JOINED}',
+    "order_text_compat": 'select row_number() over (order by c_nationkey) as "PLACE", c_nationkey::varchar as "SORTED" from customer',
     "order_by_asc": 'select c_custkey as "C_CUSTKEY", c_acctbal as "C_ACCTBAL" from customer',
     "order_by_desc": 'select c_custkey as "C_CUSTKEY", c_acctbal as "C_ACCTBAL" from customer',
     "order_by_hidden": 'select c_custkey as "C_CUSTKEY" from customer',

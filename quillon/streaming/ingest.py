@@ -9,10 +9,10 @@ from quillon.engine import Engine
 
 
 def stream_into(engine: Engine, table: str, df: DataFrame, checkpoint: str, **options) -> StreamingQuery:
-    """Append every micro-batch of a streaming df to a table, under the rules of INSERT.
+    """Append every micro-batch of a streaming df to a table, once, under the rules of INSERT.
 
-    A micro-batch that Spark repeats after a failure is appended again: a table
-    with a declared key shows its newest row, so keyed reads don't change.
+    The number of a micro-batch is committed with its rows, under the name of
+    the checkpoint: one that Spark repeats after a failure changes nothing.
     """
-    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, _: engine.load(table, rows))
+    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, number: engine.load(table, rows, (checkpoint, number)))
     return writer.trigger(**(options or {"availableNow": True})).start()
