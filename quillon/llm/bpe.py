@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.common import documents, map_texts
 
-#: Runs of text, and pieces of them, that a task remembers; beyond that a memory starts afresh.
-CACHE_RUNS, CACHE_WORDS = 80_000, 60_000
+#: Runs of text, and pieces of them, that a task remembers in each of two generations.
+CACHE_RUNS, CACHE_WORDS = 60_000, 150_000
 #: Longer words are encoded but not remembered.
 CACHE_LENGTH = 64
 
@@ -107,6 +107,31 @@ def letters(kind: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in [*runs, *NEWER.get(kind, ())])
 
 
+class Memory:
+    """What was asked for lately, in two generations: a full young one takes the place of the old one, whose entries are
+    young again when they are asked for."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        """Of the old generation, where the young one hasn't got it."""
+        if (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            # Whoever holds the young dictionary keeps it.
+            self.old = dict(self.young)
+            self.young.clear()
+        self.young[key] = value
+
+    def clear(self) -> None:
+        self.old = {}
+        self.young.clear()
+
+
 class WordBPE:
     """Encoder and decoder for a vocabulary whose words end in a suffix."""
 
@@ -129,8 +154,7 @@ class WordBPE:
         self.latin = regex.compile(split["pattern"]["Regex"])
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\p{L}", letters("L")).replace(r"\p{N}", letters("N")))
         self.special = regex.compile("|".join(map(regex.escape, self.added)) or "(?!)")
-        self.cache: dict[bytes, tuple[bytes, str]] = {}
-        self.merged: dict[str, tuple[int, ...]] = {}
+        self.cache, self.merged = Memory(CACHE_RUNS), Memory(CACHE_WORDS)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one piece, from its bytes."""
@@ -171,13 +195,12 @@ class WordBPE:
     def plain(self, text: str) -> list[int]:
         """Ids of text without added tokens."""
         out: list[int] = []
+        young, merged = self.merged.young.get, self.merged
         for piece in self.split(normal(text)):
-            if (ids := self.merged.get(piece)) is None:
+            if (ids := young(piece)) is None and (ids := merged.get(piece)) is None:
                 ids = tuple(self.merge(piece.encode()))
                 if len(piece) <= CACHE_LENGTH:
-                    if len(self.merged) >= CACHE_WORDS:
-                        self.merged.clear()
-                    self.merged[piece] = ids
+                    merged.put(piece, ids)
             out += ids
         return out
 
@@ -192,12 +215,12 @@ class WordBPE:
 
     def known(self, raw: bytes) -> tuple[bytes, str]:
         """Packed ids of a run, and its decoded text with the space that follows."""
+        if found := self.cache.get(raw):
+            return found
         ids = self.chunk(raw)
         found = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids) + " " if ids else ""
         if len(raw) <= CACHE_LENGTH:
-            if len(self.cache) >= CACHE_RUNS:
-                self.cache.clear()
-            self.cache[raw] = found
+            self.cache.put(raw, found)
         return found
 
     def encode(self, text: bytes) -> tuple[int, bytes, str]:
@@ -206,7 +229,7 @@ class WordBPE:
         White space ends every piece, so a text is the concatenation of its
         runs; bytes.split() splits at ASCII white space only.
         """
-        cache, known = self.cache.get, self.known
+        cache, known = self.cache.young.get, self.known
         parts = [cache(raw) or known(raw) for raw in text.split()]
         if not parts:
             return 0, b"", ""

@@ -165,7 +165,9 @@ def dedup_lines(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     twice = staged(twice_seen(once_seen(df, text_col, least_chars, parts), parts), "lines-twice")
     found = staged(suspects(df, id_col, text_col, least_chars, twice), "lines-suspects")
-    drops = staged(to_drop(found, confirmed(found, least_docs)), "lines-drops")
+    # Written on its own, so that the join's sides are plain shuffles, which Spark can split.
+    keepers = staged(confirmed(found, least_docs), "lines-keepers")
+    drops = staged(to_drop(found, keepers), "lines-drops")
 
     @arrow_udf("struct<text:string,n_lines:bigint,n_dropped:bigint>")
     def rewritten(texts: pa.Array, drops: pa.Array) -> pa.Array:

@@ -24,7 +24,8 @@ PIXELS, CHANNELS = 64, 3
 ROW = PIXELS * CHANNELS
 #: Luma weights in thousandths.
 LUMA = (299, 587, 114)
-GRID = 8
+#: Sides of the resampled image, and of the square of frequencies.
+SIDE, GRID = 32, 8
 
 
 class MediaError(ValueError):
@@ -142,22 +143,26 @@ def decode_png(media: bytes) -> np.ndarray:
     return unfiltered(np.frombuffer(raw, np.uint8).reshape(height, ROW + 1))
 
 
-@lru_cache(maxsize=2048)
-def low_frequencies(n: int) -> np.ndarray:
-    """(GRID, n): box-resample n samples to 32, then the lowest GRID rows of the cosine transform."""
-    size = 32
-    edges = np.arange(size + 1) * (n / size)
-    lo, hi = edges[:-1, None], edges[1:, None]
-    i = np.arange(n)[None, :]
-    boxes = np.clip(np.minimum(hi, i + 1) - np.maximum(lo, i), 0, None) * (size / n)
-    k, t = np.arange(GRID)[:, None], np.arange(size)[None, :]
-    return np.cos(np.pi * k * (2 * t + 1) / (2 * size)) @ boxes
+def resampled(samples: np.ndarray) -> np.ndarray:
+    """Rows resampled to SIDE, each the mean of the samples, or parts of them, that it covers."""
+    n = len(samples)
+    edges = np.arange(SIDE + 1) * (n / SIDE)
+    whole = np.minimum(edges.astype(np.int64), n - 1)
+    before = np.concatenate([np.zeros((1, samples.shape[1])), np.cumsum(samples, axis=0)])
+    return np.diff(before[whole] + (edges - whole)[:, None] * samples[whole], axis=0) * (SIDE / n)
+
+
+@lru_cache(maxsize=1)
+def cosines() -> np.ndarray:
+    """(GRID, SIDE): the lowest rows of the cosine transform."""
+    k, t = np.arange(GRID)[:, None], np.arange(SIDE)[None, :]
+    return np.cos(np.pi * k * (2 * t + 1) / (2 * SIDE))
 
 
 def cosine_hash(samples: np.ndarray) -> str:
     """16 hex digits: which of the 64 lowest frequencies exceed their median, the constant term left out of it."""
-    gray = samples.reshape(len(samples), PIXELS, CHANNELS).astype(np.int64) @ np.array(LUMA)
-    low = np.round(low_frequencies(len(samples)) @ (gray / 1000.0) @ low_frequencies(PIXELS).T, 4).ravel()
+    gray = (samples.reshape(len(samples), PIXELS, CHANNELS).astype(np.int64) @ np.array(LUMA)) / 1000.0
+    low = np.round(cosines() @ resampled(resampled(gray).T).T @ cosines().T, 4).ravel()
     bits = low > np.median(low[1:])
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 

@@ -56,7 +56,7 @@ class Bound:
         return self.less * w // self.more
 
 
-def cells(shingles: np.ndarray, document: np.ndarray, bound: Bound) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def cells(shingles: np.ndarray, document: np.ndarray, bound: Bound) -> tuple[np.ndarray, ...]:
     """Signatures of trie cells such that any two linked, different sets share one.
 
     shingles: those of several documents one after the other, each sorted.  The
@@ -70,7 +70,7 @@ def cells(shingles: np.ndarray, document: np.ndarray, bound: Bound) -> tuple[np.
     Returns document, signature (of depth and content), and of the cell two
     above, on the same path, its number of elements and 32 parities of them:
     the condition holds there too, and parities differ in no more places than
-    sets do.
+    sets do.  Then the cell's depth and its smallest shingle.
     """
     value = mixed(shingles + STEP)
     parity = np.uint32(1) << (shingles & np.uint64(31)).astype(np.uint32)
@@ -88,7 +88,7 @@ def cells(shingles: np.ndarray, document: np.ndarray, bound: Bound) -> tuple[np.
                 few = size <= bound.small
                 at = first[few]
                 content = np.add.reduceat(value, first)[few]
-                out.append((document[at], mixed(content + np.uint64(depth) * STEP), further[0][at], further[1][at]))
+                out.append((document[at], mixed(content + np.uint64(depth) * STEP), further[0][at], further[1][at], np.full(len(at), depth), shingles[at]))
             further = above or here
             keep = here[0] >= bound.parent
             above = here[0][keep], here[1][keep]
@@ -96,5 +96,30 @@ def cells(shingles: np.ndarray, document: np.ndarray, bound: Bound) -> tuple[np.
             shingles, document, value, parity = shingles[keep], document[keep], value[keep], parity[keep]
             depth += 1
     if not out:
-        return np.empty(0, np.int64), EMPTY, np.empty(0, np.int64), np.empty(0, np.uint32)
+        return np.empty(0, np.int64), EMPTY, np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.int64), EMPTY
     return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def probes(shingles: np.ndarray, signature: int, depth: int, least: int, bound: Bound) -> np.ndarray:
+    """Finer signatures of a cell that very many sets share: any two linked sets that share it on their path share one.
+
+    In the cell two above, linked sets of a and b elements differ in at most
+    difference(a + b).  Dealt into one group more than that, they agree in a
+    whole group.  b isn't known here, but is near a, so each number of groups
+    that is possible has its signatures.
+    """
+    up = max(depth - 2, 0)
+    inside = shingles
+    if up:
+        shift = np.uint64(64 - up)
+        prefix = np.uint64(least) >> shift
+        inside = shingles[np.searchsorted(shingles >> shift, prefix) : np.searchsorted(shingles >> shift, prefix, "right")]
+    a, out = len(inside), []
+    value, dealt = mixed(inside + STEP), mixed(inside ^ STEP)
+    with np.errstate(over="ignore"):
+        for most in range(bound.difference(a + -(-a * bound.percent // 100)), bound.difference(a + a * 100 // bound.percent) + 1):
+            content = np.zeros(most + 1, np.uint64)
+            np.add.at(content, (dealt % np.uint64(most + 1)).astype(np.int64), value)
+            group = np.arange(most + 1, dtype=np.uint64) + np.uint64(most << 32)
+            out.append(mixed(np.uint64(signature) + mixed(group + STEP) + mixed(content)))
+    return np.concatenate(out)

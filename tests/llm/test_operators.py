@@ -184,6 +184,24 @@ def test_field_tokens(spark):
     assert got[1]["n_tokens"] == sum(got[1]["field_tokens"]) == whole["n_tokens"] and len(got[2]["field_tokens"]) == 3
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_field_tokens_against_the_library(spark, rule):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    rows = [(1, "A title", "by  ", "one\n\ntwo, three"), (2, "", " naïve", "жук 日本"), (3, "x", "\n", "\n\n  y"), (4, "don", "'t", "")]
+    got = {r["doc_id"]: r["field_tokens"] for r in token_counts.field_tokens(spark.createDataFrame(rows, "doc_id long, a string, b string, c string"), ["a", "b", "c"], rule=rule).collect()}
+    for doc_id, *fields in rows:
+        owner = [i for i, f in enumerate(fields) for _ in f + "\n"][:-1]
+        expected = [0, 0, 0]
+        for first, last in tokenizer.encode("\n".join(fields), add_special_tokens=False).offsets:
+            owners = owner[first : max(last, first + 1)]
+            expected[owners[0] if rule == "first" else owners[-1] if rule == "last" else max(sorted(set(owners)), key=owners.count)] += 1
+        assert got[doc_id] == expected
+
+
 # 5
 
 
@@ -210,6 +228,30 @@ def test_png_damage():
         media.decode_png(good[:-12])
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.binary(max_size=30_000))
+def test_feature_is_of_the_cosine_transform(data):
+    """Against boxes and a transform written out."""
+    rows = np.frombuffer(media.padded(data), np.uint8).reshape(-1, 64, 3)
+    gray = rows @ np.array(media.LUMA) / 1000.0
+
+    def boxed(x):
+        n, out = len(x), np.zeros((32, x.shape[1]))
+        for k in range(32):
+            a, b = k * n / 32, (k + 1) * n / 32
+            for i in range(int(a), min(n, int(np.ceil(b)))):
+                out[k] += x[i] * max(0.0, min(b, i + 1) - max(a, i)) * 32 / n
+        return out
+
+    small = boxed(boxed(gray).T).T
+    assert np.allclose(media.resampled(media.resampled(gray).T).T, small)
+    wave = lambda k, t: np.cos(np.pi * k * (2 * t + 1) / 64)
+    low = np.array([sum(small[i, j] * wave(u, i) * wave(v, j) for i in range(32) for j in range(32)) for u in range(8) for v in range(8)])
+    clear = np.abs(low - np.median(low[1:])) > 1e-3
+    bits = np.array([b == "1" for b in f"{int(media.cosine_hash(rows.reshape(len(rows), 192)), 16):064b}"])
+    assert ((low > np.median(low[1:])) == bits)[clear].all()
+
+
 def test_media(docs, rows, empty):
     got = media.from_media(media.to_media(docs))
     expected = Counter()
@@ -325,10 +367,104 @@ def test_cells_lose_no_link(seed, percent, n):
     common = len(np.intersect1d(x, y))
     if 100 * common < percent * (len(x) + len(y) - common) or (len(x) == len(y) == common) or not common:
         return
-    document, signature, above, parity = shingles.cells(np.concatenate([x, y]), np.repeat([0, 1], [len(x), len(y)]), bound)
-    facts = [{int(s): (int(a), int(p)) for d, s, a, p in zip(document, signature, above, parity) if d == k} for k in (0, 1)]
+    found = shingles.cells(np.concatenate([x, y]), np.repeat([0, 1], [len(x), len(y)]), bound)
+    facts = [{int(s): (int(a), int(p), int(depth), int(least)) for d, s, a, p, depth, least in zip(*found) if d == k} for k in (0, 1)]
     shared = facts[0].keys() & facts[1].keys()
-    assert any((facts[0][s][1] ^ facts[1][s][1]).bit_count() <= bound.difference(facts[0][s][0] + facts[1][s][0]) for s in shared)
+    meet = lambda s: np.intersect1d(*[shingles.probes(z, s, *facts[k][s][2:], bound) for k, z in enumerate((x, y))]).size
+    assert any((facts[0][s][1] ^ facts[1][s][1]).bit_count() <= bound.difference(facts[0][s][0] + facts[1][s][0]) and meet(s) for s in shared)
+
+
+def phrased(rng, n, copies=3):
+    """Random texts that hold a common phrase, and copies of some of them that differ in a word."""
+    texts = []
+    for i in range(n):
+        words = [f"r{rng.randrange(10**7)}" for _ in range(25)]
+        words[10:10] = "we use cookies to make this site work better".split()
+        texts += [" ".join(words)] + [" ".join([*words, f"x{k}"]) for k in range(copies if i % 20 == 0 else 0)]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("rows_held,work", [(1 << 16, 2), (2, 1)])
+def test_jaccard_with_a_phrase_in_all_documents(spark, monkeypatch, rows_held, work):
+    import random
+
+    monkeypatch.setattr(jaccard, "HOT_ROWS", rows_held)
+    monkeypatch.setattr(jaccard, "HOT_WORK", work)
+    monkeypatch.setattr(jaccard, "READ", 1)
+    given = phrased(random.Random(2), 300)
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    bound = shingles.Bound(85)
+    assert jaccard.candidates(jaccard.signatures(df, "doc_id", "text", 4, bound), bound).where("hot").count() > 0
+    assert multiset(jaccard.jaccard_join(df), "doc_id", "n_shingles", "component_id", "n_links") == plain_join(given)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 9), max_size=30), st.integers(1, 7), st.integers(1, 12), st.integers(2, 20))
+def test_whole_cells(sizes, batch, read, most):
+    """Cells come whole, in batches of any size; one that can't be held comes as its signature, once."""
+    import pyarrow as pa
+
+    signature = np.repeat(np.arange(len(sizes)) * 3 - 20, sizes).astype(np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)] * 3, names=["a", "b", "c"]) for x in np.array_split(signature, max(1, len(signature) // batch))]
+    held = jaccard.READ
+    jaccard.READ = read
+    try:
+        parts = list(jaccard.whole_cells(iter(batches), most))
+    finally:
+        jaccard.READ = held
+    passed, got = {p for p in parts if isinstance(p, int)}, [p for p in parts if not isinstance(p, int)]
+    assert len(passed) == sum(isinstance(p, int) for p in parts) and all(sizes[(p + 20) // 3] > most for p in passed)
+    counts = Counter(x for p in got for x in set(p[0].tolist()))
+    assert counts == Counter(set(signature.tolist()) - passed)
+    assert sorted(x for p in got for x in p[0].tolist()) == [x for x in signature.tolist() if x not in passed]
+
+
+def test_a_phrase_costs_no_square(spark, monkeypatch):
+    """Rows that a divided cell sends grow with its classes, and the comparisons left are few."""
+    import random
+
+    monkeypatch.setattr(jaccard, "HOT_WORK", 5)
+    bound, asked = shingles.Bound(85), []
+    for n in (400, 1600):
+        df = spark.createDataFrame(phrased(random.Random(4), n, 0), "doc_id long, text string").repartition(3)
+        first = jaccard.candidates(jaccard.signatures(df, "doc_id", "text", 4, bound), bound)
+        finer = jaccard.signatures(df, "doc_id", "text", 4, bound, first.where("hot").select(F.col("a").alias("signature")))
+        cells = [r[0] for r in finer.groupBy("signature").count().select("count").collect()]
+        asked.append((sum(cells), sum(c * c for c in cells)))
+    (rows_1, pairs_1), (rows_2, pairs_2) = asked
+    assert rows_2 <= 8 * rows_1 and pairs_2 <= 10 * pairs_1 and pairs_2 < 0.05 * 1600**2
+
+
+def groups_of_sets(spark, n_groups, each, seed=0):
+    """Sets in clear groups, each a little different from its group's centre, as members of one family."""
+    rng, rows = np.random.default_rng(seed), []
+    for _ in range(n_groups):
+        centre = rng.integers(0, 2**63, 120).astype(np.uint64)
+        for _ in range(each):
+            s = np.unique(np.concatenate([rng.permutation(centre)[:112], rng.integers(0, 2**63, 6).astype(np.uint64)]))
+            rows.append((shingles.set_hash(s), 1, len(s), 1, bytearray(s.tobytes())))
+    return spark.createDataFrame(rows, "class long, family long, size long, copies long, set binary")
+
+
+def test_regions_lose_no_pair_and_send_little(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    bound, sent = shingles.Bound(85), []
+    for n_groups in (5, 20):
+        sets = groups_of_sets(spark, n_groups, 40)
+        met = jaccard.meetings(jaccard.regions(sets, sets, bound), sets).cache()
+        got = {tuple(sorted((r.a, r.n) for r in [x])) for x in jaccard.links(met, bound).groupBy("a").agg(F.sum("n").alias("n")).collect()}
+        every = [(r[0], set(np.frombuffer(bytes(r[4]), np.uint64).tolist())) for r in sets.collect()]
+        linked = lambda x, y: 100 * len(x & y) >= 85 * len(x | y)
+        plain = {k: sum(linked(x, y) for other, y in every if other != k) for k, x in every}
+        assert got == {((k, n),) for k, n in plain.items() if n}
+        sent.append(met.count())
+    # Four times the groups, far from one another: four times the sets sent, and a quarter of those of all pairs of blocks.
+    assert sent[1] <= 5 * sent[0] and sent[1] < 800 * (800 / 16) / 4
+
+
+def test_regions_of_small_families(spark):
+    sets = groups_of_sets(spark, 2, 3)
+    assert jaccard.regions(sets, sets, shingles.Bound(85)).select("region", "mask", "blocks").distinct().collect() == [(1, 0, 1)]
 
 
 def test_components(spark):
@@ -467,6 +603,25 @@ def test_license_rules():
     assert licenses.scan(b"mitlicense mit licenses")[2] == []
 
 
+def test_license_rules_without_the_prefilter(rows):
+    """The scan against every rule's regex on every text, and a sample sentence of every rule."""
+    table = [(p, label, re.compile(f"(?<= )(?:{pattern})(?= )")) for p, label, _, pattern in licenses.rules()]
+    samples = [re.sub(r"\([^()]*\)\??|\{[^}]*\}|\[[^]]*\]", "", pattern).replace("?", "").replace("  ", " ") for _, _, _, pattern in licenses.rules()]
+    texts = [r[1] for r in rows if r[1]] + [keyword for _, _, keyword, _ in licenses.rules()] + [" x ".join(samples[i : i + 9]) for i in range(0, len(samples), 7)]
+    seen = 0
+    for text in texts:
+        joined = f" {' '.join(re.findall(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', text.translate(LOWER)))} "
+        found = [(m.start(), m.end(), p, i) for i, (p, _, regex) in enumerate(table) for m in regex.finditer(joined)]
+        kept = []
+        for d in sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+                kept.append(d)
+        expected = [(joined.count(" ", 0, s - 1), joined[s:e].count(" ") + 1, p, table[i][1]) for s, e, p, i in sorted(kept)]
+        assert licenses.scan(text.encode())[2] == expected
+        seen += len(expected)
+    assert seen > 400
+
+
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9), st.integers(1, 3), st.integers(0, 5)), max_size=25))
 def test_outermost(found):
     found = [(s, s + n, p, k) for s, n, p, k in found]
