@@ -18,7 +18,7 @@ from quillon.plans.values import text_columns
 from quillon.sources.catalog import EXPIRY, NEVER, POSITION, Catalog, Table
 
 #: Characters of statements beyond which tasks read them, and the driver doesn't; the rows are the same.
-LONG = 8 << 20
+LONG = 64 << 20
 ARROW = {"INT": pa.int64(), "DATETIME": pa.int64(), "DECIMAL": pa.float64(), "VARCHAR": pa.string()}
 
 

@@ -8,13 +8,23 @@ import re
 import pyarrow as pa
 from pyarrow import csv
 
-#: In text whose quoted parts are NUL: a comma without a value before or after it, or a quoted part next to a word.
-_BROKEN = re.compile(r"[^,\n]\0|\0[^,\n]|^[,\n]|[,\n]$|,[,\n]|\n[,\n]")
-_SPACE = re.compile(r"\s")
-_MARKS = re.compile(r"[();=<>]")
 _GAPS = re.compile(r"\s*([,()])\s*")
 
 
+def _spaced(text: str) -> bool:
+    return len(text.split(None, 1)) != 1 or text[:1].isspace() or text[-1:].isspace()
+
+
+def _broken(frame: str) -> bool:
+    """Whether a comma lacks a value before or after it, a quoted part, NUL, stands next to a word, or other marks are left."""
+    if frame[:1] in ",\n" or frame[-1:] in ",\n" or any(x in frame for x in (",,", ",\n", "\n,", "\n\n", *"();=<>")):
+        return True
+    n = frame.count("\0")
+    before = frame.count(",\0") + frame.count("\n\0") + frame.startswith("\0")
+    after = frame.count("\0,") + frame.count("\0\n") + frame.endswith("\0")
+    return before != n or after != n
+
+
 def text_columns(body: str) -> pa.Table | None:
     """The values after VALUES as columns of text; None unless all rows have one length and the text is plainly well formed.
 
@@ -26,12 +36,12 @@ def text_columns(body: str) -> pa.Table | None:
         return None
     frame, quoted = "\0".join(parts[0::2]).strip().removesuffix(";").rstrip(), parts[1::2]
     frame = frame.replace("), (", "),(").replace(", ", ",")
-    if _SPACE.search(frame):
+    if _spaced(frame):
         frame = _GAPS.sub(r"\1", frame)
-    if frame[:1] != "(" or frame[-1:] != ")" or _SPACE.search(frame):
+    if frame[:1] != "(" or frame[-1:] != ")" or _spaced(frame):
         return None
     frame = frame[1:-1].replace("),(", "\n")
-    if not frame or _MARKS.search(frame) or _BROKEN.search(frame):
+    if not frame or _broken(frame):
         return None
     if quoted:
         inside = "".join(quoted)
