@@ -8,6 +8,7 @@ import pytest
 
 from quillon.engine import Engine
 from quillon.errors import DialectError
+from quillon.operators import dml
 
 USERS = """
 CREATE TABLE TEST_USERS (ID DECIMAL, NAME VARCHAR(64), BALANCE DECIMAL, EXPIRES_AT DECIMAL);
@@ -186,8 +187,10 @@ def test_batch(spark, tmp_path):
     assert e.catalog.find("A").log.newest().version == 3  # created; the first two INSERTs were one append
 
 
-def test_long_statements(spark, tmp_path):
-    """Enough text for tasks to read it; one statement is wrong."""
+@pytest.mark.parametrize("long", [1 << 20, 64 << 20])
+def test_long_statements(spark, tmp_path, monkeypatch, long):
+    """Enough text for tasks to read it, or for the driver; one statement is wrong."""
+    monkeypatch.setattr(dml, "LONG", long)
     e = made(spark, tmp_path, "CREATE TABLE T (K INT PRIMARY KEY, V VARCHAR, D DECIMAL);")
     pad = "x" * 60
     rows = [", ".join(f"({k}, '{pad}{s}', {k}.5)" for k in range(4000)) for s in range(6)]
