@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -80,10 +82,10 @@ def batch_of(body: str, compat: bool, types: list[str], order: list[int] | None,
         n, size, arrays = found.num_rows, len(types) if order is None else len(order), []
         for i, kind in enumerate(types):
             at = i if order is None else order.index(i) if i in order else found.num_columns
-            arrays.append(values_of(found.column(at), kind) if at < found.num_columns else pa.array([DEFAULTS[kind]] * n, ARROW[kind]))
-        expiry = values_of(found.column(size), "INT", NEVER) if size < found.num_columns else pa.array([NEVER] * n, pa.int64())
+            arrays.append(values_of(found.column(at), kind) if at < found.num_columns else pa.repeat(pa.scalar(DEFAULTS[kind], ARROW[kind]), n))
+        expiry = values_of(found.column(size), "INT", NEVER) if size < found.num_columns else pa.repeat(pa.scalar(NEVER, pa.int64()), n)
     first = number << 32
-    return [*arrays, expiry, pa.array(range(first, first + n), pa.int64())]
+    return [*arrays, expiry, pa.array(np.arange(first, first + n))]
 
 
 def insert(catalog: Catalog, table: Table, stmts: list[Insert], compat: bool) -> None:
@@ -93,8 +95,15 @@ def insert(catalog: Catalog, table: Table, stmts: list[Insert], compat: bool) ->
     orders = [places(table, s, compat) for s in stmts]
     names = [*table.schema.fieldNames(), EXPIRY, POSITION]
     if sum(len(s.body) for s in stmts) <= LONG:
-        parts = [pa.table(batch_of(s.body, compat, types, o, i), names=names) for i, (s, o) in enumerate(zip(stmts, orders))]
-        catalog.append(table, pa.concat_tables(parts))
+
+        def part(i: int) -> pa.Table:
+            return pa.table(batch_of(stmts[i].body, compat, types, orders[i], i), names=names)
+
+        if len(stmts) == 1:
+            catalog.append(table, part(0))
+        else:
+            with ThreadPoolExecutor(4) as pool:  # Arrow's part of the work runs side by side
+                catalog.append(table, pa.concat_tables(pool.map(part, range(len(stmts)))))
         return
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
