@@ -193,7 +193,8 @@ def dedup_lines(
     # The caller's row travels as one column, so that none of its names can clash with ours.
     row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0))
     rows = df.where(moves).select(own_id.alias("id"), row.alias("row"), text.alias("text"))
-    met = rows.join(drops, F.col("id") == F.col("doc_id"), "left").select("row", rewritten("text", "drops").alias("new"))
+    # A merge join at every size: where drops are few enough for a broadcast today they grow with the corpus.
+    met = rows.join(drops.hint("merge"), F.col("id") == F.col("doc_id"), "left").select("row", rewritten("text", "drops").alias("new"))
     changed = met.select(*[F.col("row")[c].alias(c) for c in others], F.col("new.text").alias(text_col), F.col("new.n_lines").alias("n_lines"), F.col("new.n_dropped").alias("n_dropped"))
     return still.unionByName(changed).select(*[f"`{c}`" for c in df.columns], "n_lines", "n_dropped")
 
