@@ -46,8 +46,8 @@ from quillon.llm.shingles import Bound, cells, mixed, probes, set_hash, shingle_
 
 WORDS = 4
 PERCENT = 85
-#: Classes in a block, and their shingles (16 MB).  Documents whose cells are found together.  Entries of a matrix of counts.
-BLOCK, BLOCK_SHINGLES, TOGETHER, ENTRIES = 128, 1 << 21, 200, 1 << 21
+#: Classes in a block, and their shingles (4 MB).  Documents whose cells are found together.  Entries of a matrix of counts.
+BLOCK, BLOCK_SHINGLES, TOGETHER, ENTRIES = 128, 1 << 19, 200, 1 << 21
 #: Pivots of a region at most, and members that they are chosen from.  Levels of regions; the work that is left of a region's if it is worth dividing.
 PIVOTS, DRAWN, LEVELS, WORTH = 16, 32, 20, 0.7
 #: Rows that a task reads before it finds candidates.  Rows, and comparisons, beyond which a cell is divided again.
@@ -112,7 +112,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, bound: Bou
                     sets.append(s)
                     hashes.append(h)
                     n += len(s)
-                if len(sets) >= TOGETHER or n >= TOGETHER * 5000:
+                if len(sets) >= TOGETHER or n >= TOGETHER * 1000:
                     yield found(sets, hashes)
                     sets, hashes, n = [], [], 0
             if sets:
