@@ -3,6 +3,7 @@ digits of exponent, whichever is shorter, fixed where both are as long."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -39,30 +40,41 @@ def value_text(value) -> str:
     return "NULL" if value is None else str(value)
 
 
-def double_column_text(value: Column) -> Column:
-    """double_text() of a column: Java's digits, put in the other form."""
-    java = F.abs(value).cast("string")
-    whole = F.regexp_extract(java, r"^([0-9]+)", 1)
-    part = F.regexp_replace(F.regexp_extract(java, r"\.([0-9]+)", 1), "0+$", "")
-    power = F.coalesce(F.regexp_extract(java, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    raw = F.concat(whole, part)
-    led = F.regexp_replace(raw, "^0+", "")
-    point = F.length(whole) + power - (F.length(raw) - F.length(led))
-    digits = F.regexp_replace(led, "0+$", "")
-    n = F.length(digits)
-    fixed = (
-        F.when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n)))
-        .when(point > 0, F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
-        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-    )
-    size = F.abs(point - 1).cast("string")
-    scientific = F.concat(
-        F.substr(digits, F.lit(1), F.lit(1)),
-        F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""),
-        F.when(point < 1, "e-").otherwise("e+"),
-        F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size),
-    )
-    text = F.when(F.length(fixed) <= F.length(scientific), fixed).otherwise(scientific)
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once, however often body has it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def shorter_form(value: Column) -> Column:
+    """double_text() of any column: Java's digits, put in the shorter form."""
+
+    def parts(java: Column) -> Column:
+        mantissa, power = F.substring_index(java, "E", 1), F.coalesce(F.split_part(java, F.lit("E"), F.lit(2)).try_cast("int"), F.lit(0))
+        whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
+        led = F.ltrim(F.concat(whole, part), F.lit("0"))
+        point = F.length(whole) + power - (F.length(whole) + F.length(part) - F.length(led))
+        return F.struct(F.rtrim(led, F.lit("0")).alias("digits"), point.alias("point"))
+
+    def forms(of: Column) -> Column:
+        digits, point = of["digits"], of["point"]
+        n, size = F.length(digits), F.abs(point - 1).cast("string")
+        fixed = (
+            F.when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n)))
+            .when(point > 0, F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+            .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        )
+        scientific = F.concat(
+            F.substr(digits, F.lit(1), F.lit(1)),
+            F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""),
+            F.when(point < 1, "e-").otherwise("e+"),
+            F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size),
+        )
+        return F.struct(fixed.alias("fixed"), scientific.alias("scientific"))
+
+    def shorter(of: Column) -> Column:
+        return F.when(F.length(of["fixed"]) <= F.length(of["scientific"]), of["fixed"]).otherwise(of["scientific"])
+
+    text = bound(bound(bound(F.abs(value).cast("string"), parts), forms), shorter)
     sign = F.when((value < 0) | (value.cast("string") == "-0.0"), "-").otherwise("")
     return (
         F.when(F.isnan(value), "nan")
@@ -72,6 +84,19 @@ def double_column_text(value: Column) -> Column:
     )
 
 
+def double_column_text(value: Column) -> Column:
+    """double_text() of a column.  A number with fewer than five zeros at its end is never longer in fixed form; between
+    0.001 and 10^7 that is Java's, and a whole number's is the integer's.  Others go by their digits."""
+    size = F.abs(value)
+    fixed = (size < 1e5) | (size % 1e5 != 0)
+    whole = (value == F.rint(value)) & (value != 0) & (size < float(2**53))
+    return (
+        F.when(whole & fixed, value.try_cast("bigint").cast("string"))
+        .when((value == 0) | ((size >= 1e-3) & (size < 1e7) & fixed), F.rtrim(F.rtrim(value.cast("string"), F.lit("0")), F.lit(".")))
+        .otherwise(shorter_form(value))
+    )
+
+
 def column_text(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return double_column_text(value.cast("double"))

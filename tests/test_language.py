@@ -100,3 +100,17 @@ def test_double_text_column(spark):
     values = [1200.0, 1e5, 1e-4, 1893456000.0, 0.05, -2.5, 0.0, -0.0, 1e100, 123456.0, 1.5e-9, 12345678.9, 0.001, 1e7, 9999999.0, float("inf"), float("-inf"), float("nan"), 3.0e-5, 1 / 3]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", double_column_text(F.col("v")).alias("t")).collect()
     assert [r["t"] for r in rows] == [double_text(v) for v in values]
+
+
+def test_double_text_column_compiles(spark):
+    """Text of many rows by compiled code, at the limits of each form."""
+    limits = [1e-3, 9.99e-4, 99999.0, 1e5, 100000.5, 1.1e6, 1e6, 9999999.99, 1e7, 1.5e7, 2.0**53, 2.0**53 - 1, 1e15, -0.0, float("nan"), float("-inf"), None]
+    signed = F.array(*[F.lit(v).cast("double") for v in limits])
+    values = spark.range(4000).select(F.when(F.col("id") < len(limits), F.try_element_at(signed, (F.col("id") + 1).cast("int"))).otherwise((F.col("id") - 2000) / 100).alias("v"))
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        rows = values.select("v", double_column_text(F.col("v")).alias("t")).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert len(rows) == 4000 and rows[len(limits) - 1]["t"] is None
+    assert all(r["t"] == double_text(r["v"]) for r in rows if r["v"] is not None)
