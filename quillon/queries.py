@@ -136,10 +136,12 @@ def join_numeric_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_real_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DECIMAL with VARCHAR: the number's text decides."""
+    """DECIMAL with VARCHAR: the number's text decides.  Numbers and texts are both of the balance to two decimals, which
+    has no -0 (a double has, and "-0" is its text)."""
     e = engine(spark, sf_dir)
-    texts = F.regexp_replace(F.col("c_acctbal").cast("decimal(12,2)").cast("string"), r"\.?0+$", "")
-    e.attach("TEXTS", table(spark, sf_dir, "customer").select("c_custkey", texts.alias("k")))
+    customers, balance = table(spark, sf_dir, "customer"), F.col("c_acctbal").cast("decimal(12,2)")
+    e.attach("CUSTOMER", customers.withColumn("c_acctbal", balance.cast("double")), key=KEYS["CUSTOMER"])
+    e.attach("TEXTS", customers.select("c_custkey", F.regexp_replace(balance.cast("string"), r"\.?0+$", "").alias("k")))
     return e.query("SELECT CUSTOMER.C_CUSTKEY, TEXTS.C_CUSTKEY, TEXTS.K FROM CUSTOMER INNER JOIN TEXTS ON CUSTOMER.C_ACCTBAL = TEXTS.K")
 
 

@@ -39,6 +39,19 @@ def test_order(spark, name, column, descending):
     assert values == sorted(values, reverse=descending) and len(values) > 10
 
 
+def test_join_real_texts_of_zero(spark, tmp_path):
+    """Zeros of both signs, a balance of more decimals, and none."""
+    balances = [-0.0, 0.0, 5.0, 12.5, -12.5, 7.251, 7.25, -0.001, 9999.99, None]
+    rows = [(k, f"c{k}", k % 25, v, "BUILDING") for k, v in enumerate(balances)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view customer as from '{tmp_path}/customer.parquet/*.parquet'")
+    df, expected = queries.QUERIES["join_real_texts"](spark, str(tmp_path)), con.sql(queries.ORACLE_SQL["join_real_texts"])
+    found = df.collect()
+    same(found, df.columns, expected.fetchall(), expected.columns)
+    assert sum(r["TEXTS.K"] == "0" for r in found) == 9
+
+
 def test_entry(spark):
     import __spark_entry__
 
