@@ -79,19 +79,30 @@ def shared_bloom(df: DataFrame, column: str) -> SharedBloom | None:
     return SharedBloom(log_bits, {r["segment"]: bytes(r["bits"]) for r in rows})
 
 
-def possible(df: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A test of xxhash64 values: true for those of a column of df, false for nearly all others; true for all where the
-    column is too long for a filter, so whoever asks it joins exactly afterwards.
+def tester(df: DataFrame, column: str) -> Callable[[pa.Array], np.ndarray] | None:
+    """A test of Arrow arrays of xxhash64 values, for tasks: true for those of a column of df, false for nearly all others;
+    None where the column is too long for a filter.
 
     The column's hashes are written to the shared folder, as they are counted before they are put in.
     """
     hashed = staged(df.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("hash")), "possible")
     if (bloom := shared_bloom(hashed, "hash")) is None:
-        return lambda hashes: F.lit(True)
+        return None
     known = df.sparkSession.sparkContext.broadcast(bloom)
+    return lambda hashes: known.value.contains(hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def asks(test_of: Callable[[pa.Array], np.ndarray] | None) -> Callable[[Column], Column]:
+    """A tester() as a test of columns; true for all where there is none, so whoever asks it joins exactly afterwards."""
+    if test_of is None:
+        return lambda hashes: F.lit(True)
 
     @arrow_udf("boolean")
     def test(hashes: pa.Array) -> pa.Array:
-        return pa.array(known.value.contains(hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+        return pa.array(test_of(hashes))
 
     return test
+
+
+def possible(df: DataFrame, column: str) -> Callable[[Column], Column]:
+    return asks(tester(df, column))

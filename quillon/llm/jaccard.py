@@ -65,15 +65,23 @@ def classes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     return map_texts(df, id_col, text_col, work, "doc_id long, n_shingles long, class long")
 
 
-def set_class(words: int) -> Callable[[Column], Column]:
-    """The class of a string column's texts as classes() has it, null where the set is empty."""
+def set_class(words: int, test: Callable[[pa.Array], np.ndarray] | None) -> Callable[[Column, Column], Column]:
+    """Of hashes and texts a struct: asked, whether test (of filters.tester; None holds for all) holds for the hash, and
+    class of the text as classes() has it, null where the set is empty or isn't asked for.
 
-    @arrow_udf("long")
-    def of(texts: pa.Array) -> pa.Array:
-        sets = (shingle_set(t, words) for t in text_bytes(texts))
-        return pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())
+    Both in one, and once a row: each further Python step of a task is a worker more, with its memory.
+    """
+
+    @arrow_udf("struct<asked:boolean,class:bigint>")
+    def of(hashes: pa.Array, texts: pa.Array) -> pa.Array:
+        asked = np.ones(len(hashes), bool) if test is None else test(hashes)
+        found: list[int | None] = [None] * len(hashes)
+        for i, t in zip(np.flatnonzero(asked).tolist(), text_bytes(texts.filter(pa.array(asked)))):
+            s = shingle_set(t, words)
+            found[i] = set_hash(s) if len(s) else None
+        return pa.StructArray.from_arrays([pa.array(asked), pa.array(found, pa.int64())], names=["asked", "class"])
 
-    return of
+    return of.asNondeterministic()
 
 
 def facts_of(size: np.ndarray, above: np.ndarray, parity: np.ndarray) -> np.ndarray:
@@ -235,16 +243,23 @@ def family_sets(df: DataFrame, id_col: str, text_col: str, words: int, members:
     """members (class, doc_id, ...) with set, sorted 64-bit hashes in binary.  Texts are found by a filter of the
     members' ids first, so that only those of candidates are shuffled."""
     maybe = possible(members, "doc_id")
-
-    @arrow_udf("binary")
-    def packed(texts: pa.Array, hashes: pa.Array) -> pa.Array:
-        sets = [shingle_set(t, words) for t in text_bytes(texts)]
-        # A row that repeats the id with another text is another class.
-        return pa.array([s.tobytes() if len(s) and set_hash(s) == h else None for s, h in zip(sets, hashes.to_pylist())], pa.binary())
-
     texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    met = texts.where(maybe(F.xxhash64("doc_id"))).join(members, "doc_id")
-    return met.withColumn("set", packed("text", "class")).drop("text").where(F.col("set").isNotNull())
+    # A merge join at every size: the filter, before its shuffle, and the sets, after it, are then never in one task, which
+    # would have two Python workers.
+    met = texts.where(maybe(F.xxhash64("doc_id"))).join(members.hint("merge"), "doc_id").select(*members.columns, "text")
+    names, kept = [*members.columns, "set"], len(members.columns)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", set binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in text_bytes(batch.column(kept))]
+            # A row that repeats the id with another text is another class.
+            own = np.array([len(s) > 0 and set_hash(s) == h for s, h in zip(sets, batch.column("class").to_pylist())], bool)
+            packed = pa.array([s.tobytes() for s, o in zip(sets, own) if o], pa.binary())
+            rest = batch.filter(pa.array(own))
+            yield pa.RecordBatch.from_arrays([*rest.columns[:kept], packed], names=names)
+
+    return met.mapInArrow(typed(run, schema), schema)
 
 
 def far_apart(sets: list[np.ndarray], most: int, radius: float) -> list[int]:

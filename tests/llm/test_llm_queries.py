@@ -110,3 +110,30 @@ def test_near_duplicates_that_share_an_id(spark):
     assert len(in_c) == 1 and in_c[0] in (text["C"], near("C", 50))
     rest = {(1, text["A"]), (5, text["B"]), (7, text["D"]), (7, text["E"]), (10, min(text["F"], text["F"].upper())), (10, " "), (10, ""), (10, None), (None, text["A"])}
     assert {k for k in kept if k[0] != 6} == rest
+
+
+def test_near_duplicates_take_one_python_step_a_task(spark, docs, tmp_path, monkeypatch):
+    """A task that chains Python steps holds a worker for each, and an executor's memory is theirs too."""
+    import re
+
+    import corpus_pipeline as p
+    from pyspark.sql import DataFrameWriter
+
+    chains, write = [], DataFrameWriter.parquet
+
+    def watched(self, path, *args, **kwargs):
+        if self._df is not None:
+            open_steps = []  # places, in the text of the plan, of what stands above a line within the same stage
+            for line in self._df._jdf.queryExecution().executedPlan().toString().split("\n"):
+                at = len(re.match(r"[\s:+\-*()\d]*", line)[0])
+                open_steps = [(k, n) for k, n in open_steps if k < at]
+                above = open_steps[-1][1] if open_steps else 0
+                n = 0 if "Exchange" in line[at:].split(" ")[0] else above + bool(re.match("ArrowEvalPython|MapInArrow", line[at:]))
+                open_steps.append((at, n))
+                chains.append(n)
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    given = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    p.one_of_each(spark, given, SF).write.parquet(str(tmp_path / "out"))
+    assert max(chains) == 1
